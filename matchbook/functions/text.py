@@ -89,6 +89,8 @@ def _regex_literal(s: str) -> str:
 
 
 SUFFIX_PATTERNS = [r"[,\s]*\b" + _regex_literal(s) + r"\.?\s*$" for s in LEGAL_SUFFIXES]
+SUFFIX_PASS_REVERSED = "^" + "".join(
+    r"(?:\s*\.?" + _regex_literal(s[::-1]) + r"\b[,\s]*)?" for s in LEGAL_SUFFIXES)
 PHONE_PATTERN = r"(?i)\b(ph\.?\s*)?\d{6,}\b"
 PUNCT_PATTERN = r"[^\w\s]"
 ZIP5_PATTERN = r"\b(\d{5})(?:-\d{4})?\b"
@@ -100,11 +102,19 @@ PIN6_PATTERN = r"\b(\d{6})\b"
 # ---------------------------------------------------------------------------
 
 def strip_legal_suffixes(c: Column) -> Column:
-    """One ordered pass over the suffix list, each anchored at the end."""
-    t = strip_ws(c)
-    for p in SUFFIX_PATTERNS:
-        t = strip_ws(F.regexp_replace(t, p, ""))
-    return F.regexp_replace(t, r"^[,. ]+|[,. ]+$", "")
+    """One ordered pass over the suffix list, each anchored at the end.
+
+    Equivalent to applying ``[,\\s]*\\b<suffix>\\.?\\s*$`` for each suffix in
+    order, then trimming ``,. ``. The work runs on the reversed string, where
+    each pattern is anchored at the current start: the ordered pass becomes
+    one regex ``^(?:P1)?(?:P2)?…(?:P43)?`` evaluated once per row. Each
+    optional group is tried in order, takes its match when there is one, and
+    is never backtracked into (the rest always matches), which is exactly the
+    sequential pass. ``\\b`` is symmetric and the leftmost forward match
+    equals the greedy reversed match, so results are identical.
+    """
+    t = F.regexp_replace(F.reverse(strip_ws(c)), SUFFIX_PASS_REVERSED, "")
+    return F.regexp_replace(F.reverse(t), r"^[,. ]+|[,. ]+$", "")
 
 
 def normalize_name(raw: Column) -> Column:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.operators.keys import explode_keys, priority_of
+from matchbook.operators.keys import KEY_PRIORITY, explode_keys, priority_of, profile_tags
 
 
 def truncate_blocks(target_keys: DataFrame, keep: int) -> DataFrame:
@@ -50,18 +50,21 @@ def probe(s1_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
             .select("s1_id", "cand_id", "tag"))
 
 
-def dedup_pairs(joined: DataFrame) -> DataFrame:
+def dedup_pairs(joined: DataFrame, version: str) -> DataFrame:
     """One row per (s1, cand) with its most specific shared key.
 
     Repartitioning by ``s1_id`` once serves both this aggregate and the
-    per-S1 ranking window that follows (one shuffle instead of two).
+    per-S1 ranking window that follows (one shuffle instead of two). The
+    aggregate is a plain ``min`` over an int (hash aggregate); within one
+    profile a priority names exactly one key type, mapped back afterwards.
     """
+    tags = profile_tags(version)
+    back = F.create_map(*[x for t in tags for x in (F.lit(KEY_PRIORITY[t]), F.lit(t))])
     return (joined.withColumn("prio", priority_of(F.col("tag")))
             .repartition("s1_id")
             .groupBy("s1_id", "cand_id")
-            .agg(F.min(F.struct("prio", "tag")).alias("best"))
-            .select("s1_id", "cand_id", F.col("best.prio").alias("prio"),
-                    F.col("best.tag").alias("best_key")))
+            .agg(F.min("prio").alias("prio"))
+            .withColumn("best_key", F.try_element_at(back, F.col("prio"))))
 
 
 def cap_candidates(pairs: DataFrame, cap: int) -> DataFrame:
@@ -80,7 +83,7 @@ def block(norm_s1: DataFrame, norm_targets: DataFrame, version: str, cap: int,
     """
     s1_keys = explode_keys(norm_s1, version)
     t_keys = truncate_blocks(explode_keys(norm_targets, version), cap + 1)
-    ranked = cap_candidates(dedup_pairs(probe(s1_keys, t_keys)), cap)
+    ranked = cap_candidates(dedup_pairs(probe(s1_keys, t_keys), version), cap)
     out = ranked.select("s1_id", "cand_id", "best_key", F.col("rank").cast("long").alias("rank"))
     return out if with_overflow else out.where(F.col("rank") <= cap)
 

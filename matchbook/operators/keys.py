@@ -28,6 +28,18 @@ KEY_BIT = {t: i for i, t in enumerate(
 
 PROFILES = ("v1", "v2", "v3", "v4")
 
+_PROFILE_TAGS = {
+    "v1": ["n2", "n1", "sfx2", "fl", "n3", "zip"],
+    "v2": ["n2", "n1all", "sfx2", "fl", "n3", "zip", "addr_m", "addr_s", "addr_e"],
+    "v3": ["n2", "n1all", "sfx2", "fl", "n3", "zip", "addr_12", "addr_23", "addr_end"],
+    "v4": ["n2", "n1all", "sfx2", "fl", "n3", "zip", "addr_12", "addr_23", "addr_e"],
+}
+
+
+def profile_tags(version: str) -> list[str]:
+    """Key types a profile emits (priorities are unique within a profile)."""
+    return list(_PROFILE_TAGS[version])
+
 
 def _key(tag: str, cond: Column, cty: Column, *parts: Column) -> Column:
     return F.struct(F.lit(tag).alias("tag"),
@@ -38,14 +50,36 @@ def _len(c: Column) -> Column:
     return F.coalesce(F.length(c), F.lit(0))
 
 
-def _keys_sig_profile(version: str, norm_name: Column, norm_address: Column,
-                      zip_col: Column, country: Column) -> list[Column]:
+def _at(arr: str, i: int) -> Column:
+    return F.try_element_at(F.col(arr), F.lit(i))
+
+
+def key_inputs(norm: DataFrame, version: str, id_col: str = "entity_id") -> DataFrame:
+    """Token arrays computed once per record (``_cty, _nt, _at, _zipv`` and the
+    filtered ``_sig``/``_sat`` of v1/v2). Catalyst keeps this projection
+    separate because every array is referenced many times by the keys, so the
+    splits run once per record instead of once per key."""
+    pre = norm.select(F.col(id_col).alias("entity_id"),
+                      tx.fold_country(F.col("country")).alias("_cty"),
+                      tx.tokens(F.coalesce(F.col("norm_name"), F.lit(""))).alias("_nt"),
+                      tx.tokens(F.coalesce(F.col("norm_address"), F.lit(""))).alias("_at"),
+                      F.col("zip_pin"))
+    a0 = F.try_element_at(F.col("_at"), F.lit(1))
+    z = F.col("zip_pin")
+    pre = pre.withColumn("_zipv", F.when(z.isNotNull() & (z != "") & (a0.isNull() | (z != a0)), z))
+    if version in ("v1", "v2"):
+        pre = pre.withColumn("_sig", F.filter("_nt", lambda x: F.length(x) >= 2))
+    if version == "v2":
+        pre = pre.withColumn("_sat", F.filter(
+            "_at", lambda x: (F.length(x) >= 3) & ~x.isin(*COMMON_ADDR_TOKENS)))
+    return pre
+
+
+def _keys_sig_profile(version: str) -> list[Column]:
     """v1 / v2: positions over name tokens of length >= 2."""
-    cty = tx.fold_country(country)
-    sig = F.filter(tx.tokens(F.coalesce(norm_name, F.lit(""))), lambda x: F.length(x) >= 2)
-    n = F.size(sig)
-    at = lambda i: F.try_element_at(sig, F.lit(i))
-    zipv = tx.valid_zip(zip_col, norm_address)
+    cty, zipv = F.col("_cty"), F.col("_zipv")
+    n = F.size("_sig")
+    at = lambda i: _at("_sig", i)
     keys = [_key("n2", n >= 2, cty, at(1), at(2))]
     if version == "v1":
         keys.append(_key("n1", n == 1, cty, at(1)))
@@ -58,10 +92,8 @@ def _keys_sig_profile(version: str, norm_name: Column, norm_address: Column,
         _key("zip", zipv.isNotNull(), cty, zipv),
     ]
     if version == "v2":
-        sat = F.filter(tx.tokens(F.coalesce(norm_address, F.lit(""))),
-                       lambda x: (F.length(x) >= 3) & ~x.isin(*COMMON_ADDR_TOKENS))
-        m = F.size(sat)
-        sa = lambda i: F.try_element_at(sat, F.lit(i))
+        m = F.size("_sat")
+        sa = lambda i: _at("_sat", i)
         keys += [
             _key("addr_m", m >= 4, cty, sa(3), sa(4)),
             _key("addr_s", m >= 3, cty, sa(2), sa(3)),
@@ -70,19 +102,15 @@ def _keys_sig_profile(version: str, norm_name: Column, norm_address: Column,
     return keys
 
 
-def _keys_positional_profile(version: str, norm_name: Column, norm_address: Column,
-                             zip_col: Column, country: Column) -> list[Column]:
+def _keys_positional_profile(version: str) -> list[Column]:
     """v3 / v4: positions over all tokens, each chosen token must be long enough."""
     skip = SKIP_ADDR_V3 if version == "v3" else SKIP_ADDR_V4
     end_tag = "addr_end" if version == "v3" else "addr_e"
-    cty = tx.fold_country(country)
-    nt = tx.tokens(F.coalesce(norm_name, F.lit("")))
-    at = tx.tokens(F.coalesce(norm_address, F.lit("")))
-    n = lambda i: F.try_element_at(nt, F.lit(i))
-    a = lambda i: F.try_element_at(at, F.lit(i))
-    nlen, alen = F.size(nt), F.size(at)
+    cty, zipv = F.col("_cty"), F.col("_zipv")
+    n = lambda i: _at("_nt", i)
+    a = lambda i: _at("_at", i)
+    nlen, alen = F.size("_nt"), F.size("_at")
     n0, n1, n2, nlast, n2last = n(1), n(2), n(3), n(-1), n(-2)
-    zipv = tx.valid_zip(zip_col, norm_address)
 
     def ok_name(*toks: Column) -> Column:
         cond = F.lit(True)
@@ -110,13 +138,13 @@ def _keys_positional_profile(version: str, norm_name: Column, norm_address: Colu
     ]
 
 
-def key_array(version: str, norm_name: Column, norm_address: Column,
-              zip_col: Column, country: Column) -> Column:
-    """All non-null keys of one record as ``array<struct<tag,key>>``."""
+def key_array(version: str) -> Column:
+    """All non-null keys of one record as ``array<struct<tag,key>>`` over the
+    columns of ``key_inputs`` (B15)."""
     if version in ("v1", "v2"):
-        ks = _keys_sig_profile(version, norm_name, norm_address, zip_col, country)
+        ks = _keys_sig_profile(version)
     elif version in ("v3", "v4"):
-        ks = _keys_positional_profile(version, norm_name, norm_address, zip_col, country)
+        ks = _keys_positional_profile(version)
     else:
         raise ValueError(f"unknown key profile {version!r}")
     return F.filter(F.array(*ks), lambda k: k["key"].isNotNull())
@@ -124,9 +152,8 @@ def key_array(version: str, norm_name: Column, norm_address: Column,
 
 def explode_keys(norm: DataFrame, version: str, id_col: str = "entity_id") -> DataFrame:
     """Long key table ``(entity_id, tag, key)`` from normalised records."""
-    arr = key_array(version, F.col("norm_name"), F.col("norm_address"),
-                    F.col("zip_pin"), F.col("country"))
-    return (norm.select(F.col(id_col).alias("entity_id"), F.explode(arr).alias("k"))
+    pre = key_inputs(norm, version, id_col)
+    return (pre.select("entity_id", F.explode(key_array(version)).alias("k"))
                 .select("entity_id", F.col("k.tag").alias("tag"), F.col("k.key").alias("key")))
 
 
