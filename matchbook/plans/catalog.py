@@ -270,3 +270,145 @@ np AS (SELECT s1_id, cand_id, count(*) AS k FROM sh GROUP BY ALL)
 SELECT sh.tag, count(*) AS pairs_sharing, count(*) FILTER (WHERE np.k = 1) AS only_this_key,
   round(count(*) / (SELECT count(*) FROM truth), 6) AS recall_alone
 FROM sh JOIN np USING (s1_id, cand_id) GROUP BY sh.tag""")(_recall_by_key)
+
+# ---------------------------------------------------------------------------
+# Profiling
+# ---------------------------------------------------------------------------
+
+from matchbook.operators import profile as pf  # noqa: E402
+from matchbook.operators import quality as dq  # noqa: E402
+
+_TW = f"""{REC}, {O.truth_cte()},
+tw AS (SELECT r.entity_id AS source1_entity_id, l.matched_entity_ids
+       FROM records r LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS matched_entity_ids
+                                 FROM truth GROUP BY s1_id) l ON r.entity_id = l.s1_id WHERE r.src = 1),
+mc AS (SELECT source1_entity_id, CAST(CASE WHEN matched_entity_ids IS NULL OR matched_entity_ids = '' THEN 0
+              ELSE len(string_split(matched_entity_ids, ',')) END AS BIGINT) AS match_count FROM tw)"""
+
+
+def _rt(spark, sf):
+    r = rs.records(spark, sf)
+    return r, rs.truth_wide(r)
+
+
+register("shapes", f"""{_TW}
+SELECT 'S' || CAST(src AS VARCHAR) AS source, count(*) AS rows, 4 AS n_cols FROM records GROUP BY src
+UNION ALL SELECT 'truth', count(*), 2 FROM tw""")(lambda spark, sf: pf.shapes(*_rt(spark, sf)))
+
+register("null_rates", f"""{_TW},
+r AS (SELECT 'S' || CAST(src AS VARCHAR) AS source, count(*) AS n,
+        count(*) FILTER (WHERE entity_id IS NULL) AS entity_id, count(*) FILTER (WHERE business_name IS NULL) AS business_name,
+        count(*) FILTER (WHERE business_address IS NULL) AS business_address, count(*) FILTER (WHERE country IS NULL) AS country
+      FROM records GROUP BY src),
+t AS (SELECT 'truth' AS source, count(*) AS n, count(*) FILTER (WHERE source1_entity_id IS NULL) AS source1_entity_id,
+        count(*) FILTER (WHERE matched_entity_ids IS NULL) AS matched_entity_ids FROM tw)
+SELECT source, 'entity_id' AS column_name, round(entity_id * 100.0 / n, 2) AS null_pct FROM r
+UNION ALL SELECT source, 'business_name', round(business_name * 100.0 / n, 2) FROM r
+UNION ALL SELECT source, 'business_address', round(business_address * 100.0 / n, 2) FROM r
+UNION ALL SELECT source, 'country', round(country * 100.0 / n, 2) FROM r
+UNION ALL SELECT source, 'source1_entity_id', round(source1_entity_id * 100.0 / n, 2) FROM t
+UNION ALL SELECT source, 'matched_entity_ids', round(matched_entity_ids * 100.0 / n, 2) FROM t""")(
+    lambda spark, sf: pf.null_rates(*_rt(spark, sf)))
+
+register("country_top", f"""{REC},
+c AS (SELECT 'S' || CAST(src AS VARCHAR) AS source, country AS value, count(*) AS n FROM records
+      WHERE country IS NOT NULL GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, value) AS rank FROM c) WHERE rank <= 10""")(
+    lambda spark, sf: pf.top_values(rs.records(spark, sf)))
+
+register("encoding_issues", f"""{REC},
+a AS (SELECT 'S' || CAST(src AS VARCHAR) AS source, count(*) FILTER (WHERE contains(business_name, '???')) AS bn,
+        count(*) FILTER (WHERE contains(business_address, '???')) AS ba FROM records GROUP BY src)
+SELECT source, 'business_name' AS column_name, bn AS n_rows FROM a
+UNION ALL SELECT source, 'business_address', ba FROM a""")(
+    lambda spark, sf: pf.encoding_issues(rs.records(spark, sf)))
+
+register("match_count_hist", f"{_TW} SELECT match_count, count(*) AS n_entities FROM mc GROUP BY match_count")(
+    lambda spark, sf: pf.match_count_hist(_rt(spark, sf)[1]))
+
+register("match_count_stats", f"""{_TW},
+s AS (SELECT list_sort(list(match_count)) AS v, count(*) AS n FROM mc)
+SELECT n AS total_s1_entities, (SELECT count(*) FROM mc WHERE match_count = 0) AS singletons_count,
+  round((SELECT count(*) FROM mc WHERE match_count = 0) * 100.0 / n, 2) AS singletons_pct,
+  round((SELECT avg(match_count) FROM mc), 3) AS mean_matches,
+  (v[CAST(floor((n - 1) / 2) AS BIGINT) + 1] + v[CAST(floor(n / 2) AS BIGINT) + 1]) / 2.0 AS median_matches,
+  (SELECT min(match_count) FROM mc) AS min_matches, (SELECT max(match_count) FROM mc) AS max_matches,
+  CAST(v[CAST(floor(0.25 * (n - 1) + 0.5) AS BIGINT) + 1] AS DOUBLE) AS p25,
+  CAST(v[CAST(floor(0.75 * (n - 1) + 0.5) AS BIGINT) + 1] AS DOUBLE) AS p75,
+  CAST(v[CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT) + 1] AS DOUBLE) AS p95
+FROM s""")(lambda spark, sf: pf.match_count_stats(_rt(spark, sf)[1]))
+
+_ZIPRAW = "(^|[^\\p{L}\\p{N}_])[0-9]{5}(-[0-9]{4})?($|[^\\p{L}\\p{N}_])|(^|[^\\p{L}\\p{N}_])[0-9]{6}($|[^\\p{L}\\p{N}_])"
+register("address_coverage", f"""{REC},
+a AS (SELECT 'S' || CAST(src AS VARCHAR) AS source, count(*) AS total_records, count(business_address) AS records_with_address,
+        count(*) FILTER (WHERE regexp_matches(business_address, '{_ZIPRAW}')) AS records_with_zip_or_pin
+      FROM records GROUP BY src)
+SELECT *, round((total_records - records_with_address) * 100.0 / total_records, 2) AS address_null_pct,
+  CASE WHEN records_with_address > 0 THEN round(records_with_zip_or_pin * 100.0 / records_with_address, 2) ELSE 0.0 END AS zip_coverage_pct
+FROM a""")(lambda spark, sf: pf.address_coverage(rs.records(spark, sf)))
+
+register("normalize_stats", f"""{O.norm_cte()}
+SELECT src, count(*) AS rows, count(*) FILTER (WHERE zip_pin <> '') AS zip_extracted,
+  count(*) FILTER (WHERE business_address IS NULL) AS addr_null,
+  round(count(*) FILTER (WHERE zip_pin <> '') * 100.0 / count(*), 2) AS zip_pct FROM norm GROUP BY src""")(
+    lambda spark, sf: normalize_stats(norm(spark, sf)))
+
+register("noisy_pair_sample", f"""{_TW},
+first AS (SELECT * FROM tw WHERE matched_entity_ids IS NOT NULL AND matched_entity_ids <> ''
+          ORDER BY source1_entity_id LIMIT 30),
+ids AS (SELECT source1_entity_id AS s1_id, trim(x) AS match_id FROM first,
+        unnest(string_split(matched_entity_ids, ',')[1:2]) AS u(x)),
+ex AS (SELECT i.s1_id, s.business_name AS s1_name, s.business_address AS s1_addr, i.match_id,
+         t.business_name AS match_name, t.business_address AS match_addr
+       FROM ids i JOIN records s ON s.entity_id = i.s1_id AND s.src = 1
+       JOIN records t ON t.entity_id = i.match_id AND t.src <> 1),
+per AS (SELECT s1_id, count(*) AS k FROM ex GROUP BY s1_id),
+keep AS (SELECT s1_id FROM (SELECT s1_id, coalesce(sum(k) OVER (ORDER BY s1_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per) WHERE before < 10)
+SELECT ex.* FROM ex SEMI JOIN keep USING (s1_id)""")(lambda spark, sf: pf.noisy_pair_sample(*_rt(spark, sf)))
+
+# ---------------------------------------------------------------------------
+# Data-quality rules on our candidate file
+# ---------------------------------------------------------------------------
+
+
+def _cand_file(spark, sf):
+    s1, _ = split_norm(spark, sf)
+    return bl.candidate_lists(s1, blocked(spark, sf, "v4")), s1.select("entity_id")
+
+
+def _dq_offenders(spark, sf):
+    lists, req = _cand_file(spark, sf)
+    valid = rs.targets(rs.records(spark, sf)).select("entity_id")
+    return dq.offenders(lists, "source1_entity_id", "candidate_entity_ids", req, valid)
+
+
+_CF = f"""{_B4},
+cf AS (SELECT s1.entity_id AS s1, coalesce(string_agg(b.cand_id, ',' ORDER BY b.cand_id), '') AS lst
+       FROM s1 LEFT JOIN blk b ON s1.entity_id = b.s1_id GROUP BY s1.entity_id),
+ids AS (SELECT DISTINCT s1, x AS id FROM cf, unnest(string_split(lst, ',')) AS u(x) WHERE trim(lst) <> ''),
+valid AS (SELECT entity_id FROM records WHERE src <> 1),
+offs AS (
+  SELECT 'duplicate_s1' AS rule, s1 AS offender FROM cf GROUP BY s1 HAVING count(*) > 1
+  UNION SELECT 'repeated_ids', s1 FROM cf WHERE trim(lst) <> '' AND len(string_split(lst, ',')) <> len(list_distinct(string_split(lst, ',')))
+  UNION SELECT 'self_match', id FROM ids WHERE starts_with(id, 'S1-')
+  UNION SELECT 'wrong_prefix', id FROM ids WHERE NOT starts_with(id, 'S1-') AND NOT (starts_with(id, 'S2-') OR starts_with(id, 'S3-'))
+  UNION SELECT 'missing_s1', entity_id FROM s1 WHERE entity_id NOT IN (SELECT s1 FROM cf)
+  UNION SELECT 'extra_s1', s1 FROM cf WHERE s1 NOT IN (SELECT entity_id FROM s1)
+  UNION SELECT 'unknown_ids', id FROM ids WHERE (starts_with(id, 'S2-') OR starts_with(id, 'S3-')) AND id NOT IN (SELECT entity_id FROM valid))"""
+
+register("dq_offenders_candidates", f"{_CF} SELECT rule, offender, 'error' AS severity FROM offs")(_dq_offenders)
+
+register("dq_report_candidates", f"""{_CF}
+SELECT 'candidate_pairs.tsv' AS file, rule, 'error' AS severity, count(*) AS n_offenders,
+  array_to_string(list_sort(list(offender ORDER BY offender)[1:5]), ', ') AS examples
+FROM offs GROUP BY rule""")(lambda spark, sf: dq.report(_dq_offenders(spark, sf), "candidate_pairs.tsv"))
+
+register("dq_row_counts_candidates", f"""{_CF}
+SELECT 'candidate_pairs.tsv' AS file, count(*) AS rows, count(*) FILTER (WHERE trim(lst) = '') AS empty,
+  count(*) FILTER (WHERE trim(lst) <> '') AS non_empty FROM cf""")(
+    lambda spark, sf: dq.row_counts(_cand_file(spark, sf)[0], "candidate_entity_ids", "candidate_pairs.tsv"))
+
+register("dq_summary_candidates", f"""{_CF}
+SELECT CAST(count(*) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings,
+  CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM offs""")(
+    lambda spark, sf: dq.summary(dq.report(_dq_offenders(spark, sf), "candidate_pairs.tsv")))
