@@ -412,3 +412,130 @@ register("dq_summary_candidates", f"""{_CF}
 SELECT CAST(count(*) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings,
   CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM offs""")(
     lambda spark, sf: dq.summary(dq.report(_dq_offenders(spark, sf), "candidate_pairs.tsv")))
+
+# ---------------------------------------------------------------------------
+# Matching stage: pair features, scores, thresholds, F0.5
+# ---------------------------------------------------------------------------
+
+from matchbook.operators import features as fe  # noqa: E402
+from matchbook.operators import match as mt  # noqa: E402
+
+
+def _pf(spark, sf):
+    """Candidate pairs (v4, capped) with all features."""
+    n = norm(spark, sf)
+    s1, tg = n.where(F.col("src") == 1), n.where(F.col("src") != 1)
+    pairs = bl.block(s1, tg, "v4", MAX_CANDIDATES_V4).select("s1_id", "cand_id")
+    return fe.all_features(pairs, n), n
+
+
+def _scored(spark, sf):
+    return fe.fixed_score(_pf(spark, sf)[0])
+
+
+_PF = O.pair_features_cte()
+_K = ["s1_id", "cand_id"]
+register("pair_features_name", f"{_PF} SELECT s1_id, cand_id, {', '.join(fe.NAME_FEATURES)} FROM pf")(
+    lambda spark, sf: _pf(spark, sf)[0].select(*_K, *fe.NAME_FEATURES))
+register("pair_features_addr", f"{_PF} SELECT s1_id, cand_id, {', '.join(fe.ADDR_FEATURES)} FROM pf")(
+    lambda spark, sf: _pf(spark, sf)[0].select(*_K, *fe.ADDR_FEATURES))
+register("pair_features_meta", f"{_PF} SELECT s1_id, cand_id, {', '.join(fe.META_FEATURES)} FROM pf")(
+    lambda spark, sf: _pf(spark, sf)[0].select(*_K, *fe.META_FEATURES))
+register("pair_jaro_winkler", f"{_PF} SELECT s1_id, cand_id, round(jaro_winkler_similarity(na, nb), 6) AS name_jaro_winkler FROM pf")(
+    lambda spark, sf: fe.jaro_winkler_feature(fe.attach(
+        blocked(spark, sf, "v4").select(*_K), norm(spark, sf))).select(*_K, "name_jaro_winkler"))
+
+
+def _rare(spark, sf):
+    n = norm(spark, sf)
+    s1, tg = n.where(F.col("src") == 1), n.where(F.col("src") != 1)
+    p = fe.attach(bl.block(s1, tg, "v4", MAX_CANDIDATES_V4).select(*_K), n)
+    return fe.rare_token_feature(p, n).select(*_K, "shared_rare_tokens")
+
+
+register("pair_rare_tokens", f"""{_PF},
+dfa AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT entity_id, unnest({O._tset('norm_address')}) AS token FROM norm) GROUP BY token)
+SELECT s1_id, cand_id, CAST((SELECT count(*) FROM unnest(list_intersect({O._tset('aa')}, {O._tset('ab')})) AS u(tok)
+                             JOIN dfa ON dfa.token = u.tok WHERE dfa.df <= 5) AS BIGINT) AS shared_rare_tokens FROM pf""")(_rare)
+
+register("pair_scores", f"{_PF} SELECT s1_id, cand_id, score FROM ps")(
+    lambda spark, sf: _scored(spark, sf).select(*_K, "score"))
+
+register("ensemble_score", f"""{_PF}
+SELECT s1_id, cand_id, (score + round(jaro_winkler_similarity(na, nb), 6) + name_lev_ratio) / 3 AS ensemble FROM ps""")(
+    lambda spark, sf: fe.jaro_winkler_feature(_scored(spark, sf)).select(
+        *_K, ((F.col("score") + F.col("name_jaro_winkler") + F.col("name_lev_ratio")) / 3).alias("ensemble")))
+
+register("matches", f"{_PF} SELECT s1_id, cand_id, score FROM ps WHERE score > 0.5")(
+    lambda spark, sf: mt.threshold_matches(_scored(spark, sf), 0.5))
+
+register("matching_results", f"""{_PF}
+SELECT s1.entity_id AS source1_entity_id, coalesce(string_agg(m.cand_id, ',' ORDER BY m.cand_id), '') AS matched_entity_ids
+FROM s1 LEFT JOIN (SELECT * FROM ps WHERE score > 0.5) m ON s1.entity_id = m.s1_id GROUP BY s1.entity_id""")(
+    lambda spark, sf: mt.match_lists(split_norm(spark, sf)[0], mt.threshold_matches(_scored(spark, sf), 0.5)))
+
+
+def _f05_per(spark, sf):
+    return mt.f05_per_entity(split_norm(spark, sf)[0], truth(spark, sf),
+                             mt.threshold_matches(_scored(spark, sf), 0.5))
+
+
+_F05 = f"""{_PF},
+m AS (SELECT s1_id, cand_id FROM ps WHERE score > 0.5),
+fo AS (SELECT coalesce(t.s1_id, m.s1_id) AS s1_id, t.cand_id AS tc, m.cand_id AS mc FROM truth t FULL JOIN m
+       ON t.s1_id = m.s1_id AND t.cand_id = m.cand_id),
+per0 AS (SELECT s1_id, count(tc) AS n_true, count(mc) AS n_pred, count(*) FILTER (WHERE tc IS NOT NULL AND mc IS NOT NULL) AS tp
+         FROM fo GROUP BY s1_id),
+per AS (SELECT s1.entity_id AS s1_id, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp
+        FROM s1 LEFT JOIN per0 ON s1.entity_id = per0.s1_id)"""
+register("f05_per_entity", f"{_F05} SELECT *, round({O.f05_expr('tp', 'n_pred', 'n_true')}, 6) AS f05 FROM per")(_f05_per)
+register("f05_macro", f"""{_F05} SELECT count(*) AS n_entities, round(avg(round({O.f05_expr('tp', 'n_pred', 'n_true')}, 6)), 6) AS f05_macro FROM per""")(
+    lambda spark, sf: mt.f05_macro(_f05_per(spark, sf)))
+
+_TUNE = f"""{_PF},
+grid AS (SELECT CAST(j AS INTEGER) AS j, round(j * 0.05, 2) AS t FROM range(0, 21) AS g(j)),
+nt AS (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY s1_id),
+lab AS (SELECT ps.s1_id, ps.cand_id, ps.score, t.cand_id IS NOT NULL AS is_true FROM ps
+        LEFT JOIN truth t ON t.s1_id = ps.s1_id AND t.cand_id = ps.cand_id),
+pj AS (SELECT l.s1_id, g.j, count(*) AS n_pred, count(*) FILTER (WHERE is_true) AS tp FROM lab l JOIN grid g ON l.score > g.t
+       GROUP BY l.s1_id, g.j),
+full_ AS (SELECT s1.entity_id AS s1_id, g.j, coalesce(pj.n_pred, 0) AS n_pred, coalesce(pj.tp, 0) AS tp, coalesce(nt.n_true, 0) AS n_true
+          FROM s1 CROSS JOIN grid g LEFT JOIN pj ON pj.s1_id = s1.entity_id AND pj.j = g.j LEFT JOIN nt ON nt.s1_id = s1.entity_id),
+tuned AS (SELECT CAST(round(j * 0.05, 2) AS DOUBLE) AS threshold, round(avg({O.f05_expr('tp', 'n_pred', 'n_true')}), 6) AS f05_macro FROM full_ GROUP BY j)"""
+
+
+def _tuned(spark, sf):
+    return mt.tune_threshold(split_norm(spark, sf)[0], truth(spark, sf), _scored(spark, sf))
+
+
+register("tune_threshold", f"{_TUNE} SELECT * FROM tuned")(_tuned)
+register("best_threshold", f"""{_TUNE}
+SELECT max(threshold) FILTER (WHERE f05_macro = (SELECT max(f05_macro) FROM tuned)) AS threshold, max(f05_macro) AS f05_macro FROM tuned""")(
+    lambda spark, sf: mt.best_threshold(_tuned(spark, sf)))
+
+register("training_pairs", f"""{_PF},
+lab AS (SELECT b.s1_id, b.cand_id, CASE WHEN t.cand_id IS NULL THEN 0 ELSE 1 END AS label FROM blk b
+        LEFT JOIN truth t ON t.s1_id = b.s1_id AND t.cand_id = b.cand_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY md5(s1_id || cand_id), cand_id) AS rn,
+        sum(label) OVER (PARTITION BY s1_id) AS npos FROM lab)
+SELECT s1_id, cand_id, CAST(label AS INTEGER) AS label FROM r
+WHERE label = 1 OR rn <= CASE WHEN npos > 0 THEN npos * 10 ELSE 10 END""")(
+    lambda spark, sf: mt.training_pairs(blocked(spark, sf, "v4"), truth(spark, sf)))
+
+register("entity_split", f"""{REC}
+SELECT entity_id AS s1_id, CAST(('0x' || substr(md5(entity_id), 1, 2))::INTEGER % 5 AS INTEGER) AS fold FROM records WHERE src = 1""")(
+    lambda spark, sf: rs.source1(rs.records(spark, sf)).select(
+        F.col("entity_id").alias("s1_id"), mt.entity_fold(F.col("entity_id")).cast("int").alias("fold")))
+
+
+def _score_pairs(spark, sf):
+    """GBT on folds 1–4 of the training pairs, probabilities for all candidate pairs (R)."""
+    pf_, _ = _pf(spark, sf)
+    t = truth(spark, sf)
+    train = (mt.training_pairs(pf_.select(*_K), t)
+             .where(mt.entity_fold(F.col("s1_id")) != 0)
+             .join(pf_, _K))
+    return mt.gbt_scores(train, pf_)
+
+
+register("score_pairs")(_score_pairs)

@@ -195,3 +195,81 @@ counts AS (
          coalesce(bool_or(b.rank > {cap}), false) AS capped
   FROM s1 LEFT JOIN (SELECT * FROM blk_all WHERE rank <= {cap} + 1) b ON s1.entity_id = b.s1_id
   GROUP BY s1.entity_id)"""
+
+
+# ---------------------------------------------------------------------------
+# Pair features, scores, F0.5
+# ---------------------------------------------------------------------------
+
+def _grams(s: str) -> str:
+    return (f"CASE WHEN length({s}) >= 3 THEN list_distinct(list_transform(range(1, length({s}) - 1), "
+            f"lambda i: substr({s}, i, 3))) WHEN length({s}) > 0 THEN [{s}] ELSE []::VARCHAR[] END")
+
+
+def _jac(a: str, b: str) -> str:
+    u = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"CASE WHEN {u} > 0 THEN round(len(list_intersect({a}, {b})) / {u}, 6) ELSE 0.0 END"
+
+
+def _lev(a: str, b: str) -> str:
+    m = f"greatest(length({a}), length({b}))"
+    return f"CASE WHEN {m} > 0 THEN round(1 - levenshtein({a}, {b}) / {m}, 6) ELSE 0.0 END"
+
+
+def _tset(s: str) -> str:
+    return f"list_distinct({split_tokens(f'coalesce({s}, {q(str())})')})"
+
+
+def _tsort(s: str) -> str:
+    return f"array_to_string(list_sort({split_tokens(s)}), ' ')"
+
+
+def _firstnum(s: str) -> str:
+    return f"list_filter({split_tokens(s)}, lambda x: regexp_full_match(x, '[0-9]+'))[1]"
+
+
+def _comps(s: str) -> str:
+    return (f"list_distinct(list_filter(list_transform(string_split(lower({s}), ','), lambda x: trim(x)), "
+            f"lambda x: x <> ''))")
+
+
+def pair_features_cte(cap: int = 300) -> str:
+    """``blk`` pairs with both sides' attributes and all features as ``pf``."""
+    ta, tb = split_tokens("na"), split_tokens("nb")
+    prefix = (f"CAST(coalesce(list_position(list_transform(range(1, greatest(len({ta}), len({tb})) + 1), "
+              f"lambda i: coalesce(({ta})[i] = ({tb})[i], false)), false) - 1, len({ta})) AS BIGINT)")
+    return f"""{block_cte('v4', cap)},
+pa AS (
+  SELECT b.s1_id, b.cand_id, a.norm_name AS na, c.norm_name AS nb, a.norm_address AS aa, c.norm_address AS ab,
+    a.zip_pin AS za, c.zip_pin AS zb, a.country AS ca, c.country AS cb, a.business_address AS ra, c.business_address AS rb
+  FROM blk b JOIN norm a ON a.entity_id = b.s1_id JOIN norm c ON c.entity_id = b.cand_id),
+pf AS (
+  SELECT s1_id, cand_id, na, nb, aa, ab,
+    {_jac(_grams('na'), _grams('nb'))} AS name_char3_jaccard,
+    {_jac(_tset('na'), _tset('nb'))} AS name_token_jaccard,
+    {_lev('na', 'nb')} AS name_lev_ratio,
+    {_lev(_tsort('na'), _tsort('nb'))} AS token_sort_ratio,
+    {prefix} AS prefix_tokens,
+    CASE WHEN za <> '' AND zb <> '' THEN CAST(za = zb AS INTEGER) END AS zip_match,
+    CASE WHEN {_firstnum('aa')} IS NOT NULL AND {_firstnum('ab')} IS NOT NULL
+         THEN CAST({_firstnum('aa')} = {_firstnum('ab')} AS INTEGER) END AS street_no_match,
+    CASE WHEN aa <> '' AND ab <> '' THEN {_jac(_tset('aa'), _tset('ab'))} END AS addr_token_jaccard,
+    CASE WHEN aa <> '' AND ab <> '' THEN {_lev('aa', 'ab')} END AS addr_lev_ratio,
+    CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN CAST(len(list_intersect({_comps('ra')}, {_comps('rb')})) AS BIGINT) END
+      AS addr_component_overlap,
+    CAST(coalesce({strip_ws('lower(ca)')}, '') = coalesce({strip_ws('lower(cb)')}, '') AS INTEGER) AS country_match,
+    CASE WHEN greatest(length(na), length(nb)) > 0
+         THEN round(least(length(na), length(nb)) / greatest(length(na), length(nb)), 6) ELSE 0.0 END AS name_len_ratio,
+    CAST(aa <> '' AND ab <> '' AS INTEGER) AS both_address
+  FROM pa),
+ps AS (
+  SELECT *, CASE WHEN both_address = 1 THEN 0.5 * name_char3_jaccard + 0.3 * token_sort_ratio + 0.2 * addr_token_jaccard
+                 ELSE (0.5 * name_char3_jaccard + 0.3 * token_sort_ratio) / 0.8 END AS score
+  FROM pf)"""
+
+
+def f05_expr(tp: str, n_pred: str, n_true: str) -> str:
+    p = f"(CASE WHEN {n_pred} > 0 THEN {tp} / {n_pred} ELSE 0.0 END)"
+    r = f"(CASE WHEN {n_true} > 0 THEN {tp} / {n_true} ELSE 0.0 END)"
+    f = f"(CASE WHEN 0.25 * {p} + {r} > 0 THEN 1.25 * {p} * {r} / (0.25 * {p} + {r}) ELSE 0.0 END)"
+    return f"(CASE WHEN {n_true} = 0 THEN (CASE WHEN {n_pred} = 0 THEN 1.0 ELSE 0.0 END) ELSE {f} END)"
