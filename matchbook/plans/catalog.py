@@ -539,3 +539,40 @@ def _score_pairs(spark, sf):
 
 
 register("score_pairs")(_score_pairs)
+
+# ---------------------------------------------------------------------------
+# Retrieval keys and rankers
+# ---------------------------------------------------------------------------
+
+from matchbook.operators import retrieve as rt  # noqa: E402
+
+register("keys_phonetic")(lambda spark, sf: rt.keys_phonetic(norm(spark, sf)))
+
+_NTT = O.split_tokens("norm_name")
+register("keys_tfidf_top3", f"""{O.norm_cte()},
+terms AS (SELECT entity_id, coalesce({O.strip_ws('lower(country)')}, '') AS cty, term, count(*) AS tf
+          FROM (SELECT entity_id, country, unnest({_NTT}) AS term FROM norm) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+w AS (SELECT t.*, tf * (ln((1 + (SELECT count(*) FROM norm)) / (1 + df)) + 1) AS weight FROM terms t JOIN dfs USING (term)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY weight DESC, term) AS r FROM w) WHERE r <= 3)
+SELECT entity_id, 'tfidf3' AS tag, cty || '|' || array_to_string(list_sort(list(term)), ' ') AS key FROM top GROUP BY entity_id, cty""")(
+    lambda spark, sf: rt.keys_tfidf_top3(norm(spark, sf)))
+
+
+def _bm25(spark, sf):
+    s1, tg = split_norm(spark, sf)
+    return rt.bm25_topk(bl.block(s1, tg, "v4", MAX_CANDIDATES_V4), s1, tg)
+
+
+register("bm25_topk", f"""{_B4},
+docs AS (SELECT entity_id, cty, term, dl, count(*) AS tf FROM (
+           SELECT entity_id, coalesce({O.strip_ws('lower(country)')}, '') AS cty, len({_NTT}) AS dl, unnest({_NTT}) AS term
+           FROM norm WHERE src <> 1) GROUP BY ALL),
+stats AS (SELECT cty, count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT DISTINCT entity_id, cty, dl FROM docs) GROUP BY cty),
+idf AS (SELECT d.cty, d.term, ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) AS idf, s.avgdl
+        FROM (SELECT cty, term, count(*) AS df FROM docs GROUP BY ALL) d JOIN stats s USING (cty)),
+qt AS (SELECT DISTINCT entity_id AS s1_id, unnest({_NTT}) AS term FROM norm WHERE src = 1),
+sc AS (SELECT b.s1_id, b.cand_id, round(sum(i.idf * d.tf * 2.2 / (d.tf + 1.2 * (1 - 0.75 + 0.75 * d.dl / i.avgdl))), 6) AS bm25
+       FROM blk b JOIN qt ON qt.s1_id = b.s1_id JOIN docs d ON d.entity_id = b.cand_id AND d.term = qt.term
+       JOIN idf i ON i.cty = d.cty AND i.term = d.term GROUP BY b.s1_id, b.cand_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY bm25 DESC, cand_id) AS rank FROM sc) WHERE rank <= 10""")(_bm25)
