@@ -74,15 +74,40 @@ def cap_candidates(pairs: DataFrame, cap: int) -> DataFrame:
             .where(F.col("rank") <= cap + 1))
 
 
+def prune_s1_keys(s1_keys: DataFrame, t_keys: DataFrame, cap: int) -> DataFrame:
+    """Drop S1 keys that cannot contribute to the top ``cap``.
+
+    A truncated block with ``cap + 1`` targets gives its S1 records at least
+    ``cap`` distinct candidates whose best key is at least that specific, so
+    every key of the record with a larger priority number only adds
+    candidates ranked after them. Keys without any target are dropped too.
+    Exact, and it removes most of the output of broad, skewed keys
+    (``n1all``, common streets) before the join.
+    """
+    # block sizes: a hash aggregate whose map-side partial collapses hot keys
+    sizes = t_keys.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("_bs"))
+    k = (s1_keys.join(sizes, ["tag", "key"])
+         .withColumn("_prio", priority_of(F.col("tag"))))
+    # at most one row per key type of one record
+    w = Window.partitionBy("entity_id")
+    stop = F.min(F.when(F.col("_bs") > cap, F.col("_prio"))).over(w)
+    return (k.withColumn("_stop", stop)
+            .where(F.col("_stop").isNull() | (F.col("_prio") <= F.col("_stop")))
+            .select("entity_id", "tag", "key"))
+
+
 def block(norm_s1: DataFrame, norm_targets: DataFrame, version: str, cap: int,
-          with_overflow: bool = False) -> DataFrame:
+          with_overflow: bool = False, prune: bool = False) -> DataFrame:
     """Capped candidate pairs ``(s1_id, cand_id, best_key, rank)``.
 
     With ``with_overflow`` the (cap+1)-th candidate is kept as a marker row
     (``rank = cap + 1``) so callers can count capped entities exactly.
     """
     s1_keys = explode_keys(norm_s1, version)
-    t_keys = truncate_blocks(explode_keys(norm_targets, version), cap + 1)
+    all_t_keys = explode_keys(norm_targets, version)
+    t_keys = truncate_blocks(all_t_keys, cap + 1)
+    if prune:
+        s1_keys = prune_s1_keys(s1_keys, all_t_keys, cap)
     ranked = cap_candidates(dedup_pairs(probe(s1_keys, t_keys), version), cap)
     out = ranked.select("s1_id", "cand_id", "best_key", F.col("rank").cast("long").alias("rank"))
     return out if with_overflow else out.where(F.col("rank") <= cap)
