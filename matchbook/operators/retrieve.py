@@ -79,3 +79,42 @@ def bm25_topk(pairs: DataFrame, norm_s1: DataFrame, norm_targets: DataFrame, k:
     w = Window.partitionBy("s1_id").orderBy(F.desc("bm25"), "cand_id")
     return (scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .select("s1_id", "cand_id", "bm25", "rank"))
+
+
+def name_gram_weights(norm: DataFrame, n_lo: int = 2, n_hi: int = 4) -> DataFrame:
+    """L2-normalised TF-IDF weights of character n-grams of ``norm_name``.
+
+    tf = occurrences in the name, idf = ln((1+N)/(1+df)) + 1 over all records.
+    """
+    name = F.coalesce(F.col("norm_name"), F.lit(""))
+    L = F.length(name)
+
+    def grams_of(n: int):
+        # a one-argument lambda: transform passes (element, index) to two-argument ones
+        return F.when(L >= n, F.transform(F.sequence(F.lit(1), L - n + 1), lambda i: name.substr(i, F.lit(n)))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in range(n_lo, n_hi + 1)]))
+    tf = (norm.select("entity_id", F.explode(grams).alias("gram"))
+          .groupBy("entity_id", "gram").agg(F.count(F.lit(1)).alias("tf")))
+    n = norm.select(F.count(F.lit(1))).scalar()
+    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    w = tf.join(df, "gram").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+    norms = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return w.join(norms, "entity_id").select("entity_id", "gram", (F.col("w") / F.col("_norm")).alias("w"))
+
+
+def pair_tfidf_cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Cosine of the gram vectors for each given pair (M14); 0 when nothing is shared."""
+    a = weights.select(F.col("entity_id").alias("s1_id"), "gram", F.col("w").alias("wa"))
+    b = weights.select(F.col("entity_id").alias("cand_id"), "gram", F.col("w").alias("wb"))
+    dots = (pairs.select("s1_id", "cand_id").join(a, "s1_id").join(b, ["cand_id", "gram"])
+            .groupBy("s1_id", "cand_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("_c")))
+    return (pairs.select("s1_id", "cand_id").join(dots, ["s1_id", "cand_id"], "left")
+            .select("s1_id", "cand_id", F.round(F.coalesce("_c", F.lit(0.0)), 6).alias("tfidf_cosine")))
+
+
+def tfidf_topk(cos: DataFrame, k: int = 10) -> DataFrame:
+    """Top ``k`` candidates per S1 by gram TF-IDF cosine, ties by id."""
+    w = Window.partitionBy("s1_id").orderBy(F.desc("tfidf_cosine"), "cand_id")
+    return (cos.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k))

@@ -576,3 +576,26 @@ sc AS (SELECT b.s1_id, b.cand_id, round(sum(i.idf * d.tf * 2.2 / (d.tf + 1.2 * (
        FROM blk b JOIN qt ON qt.s1_id = b.s1_id JOIN docs d ON d.entity_id = b.cand_id AND d.term = qt.term
        JOIN idf i ON i.cty = d.cty AND i.term = d.term GROUP BY b.s1_id, b.cand_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY bm25 DESC, cand_id) AS rank FROM sc) WHERE rank <= 10""")(_bm25)
+
+
+def _pair_tfidf(spark, sf):
+    n = norm(spark, sf)
+    s1, tg = n.where(F.col("src") == 1), n.where(F.col("src") != 1)
+    pairs = bl.block(s1, tg, "v4", MAX_CANDIDATES_V4)
+    return rt.pair_tfidf_cosine(pairs, rt.name_gram_weights(n))
+
+
+_GRAMS = " || ".join(
+    f"CASE WHEN length(coalesce(norm_name, '')) >= {n} THEN list_transform(range(1, length(norm_name) - {n - 2}), "
+    f"lambda i: substr(norm_name, i, {n})) ELSE []::VARCHAR[] END" for n in (2, 3, 4))
+_TFIDF = f"""{_B4},
+tf AS (SELECT entity_id, gram, count(*) AS tf FROM (SELECT entity_id, unnest({_GRAMS}) AS gram FROM norm) GROUP BY ALL),
+dfg AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
+w0 AS (SELECT entity_id, gram, tf * (ln((1 + (SELECT count(*) FROM norm)) / (1 + df)) + 1) AS w FROM tf JOIN dfg USING (gram)),
+w AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM w0),
+cos AS (SELECT b.s1_id, b.cand_id, round(coalesce((SELECT sum(x.w * y.w) FROM w x JOIN w y ON x.gram = y.gram
+          WHERE x.entity_id = b.s1_id AND y.entity_id = b.cand_id), 0.0), 6) AS tfidf_cosine FROM blk b)"""
+register("pair_tfidf", f"{_TFIDF} SELECT * FROM cos")(_pair_tfidf)
+register("tfidf_topk", f"""{_TFIDF}
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY tfidf_cosine DESC, cand_id) AS rank FROM cos) WHERE rank <= 10""")(
+    lambda spark, sf: rt.tfidf_topk(_pair_tfidf(spark, sf)))
