@@ -41,7 +41,10 @@ def register(name: str, sql: str | None = None):
 # ---------------------------------------------------------------------------
 
 def norm(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_records(rs.records(spark, sf))
+    """Normalised records, materialised once per input folder (stage boundary)."""
+    from matchbook.plans.stages import stage
+    return stage(spark, "normalized", sf, ["customer", "orders"],
+                 lambda: normalize_records(rs.records(spark, sf)))
 
 
 def split_norm(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -424,8 +427,7 @@ from matchbook.operators import match as mt  # noqa: E402
 def _pf(spark, sf):
     """Candidate pairs (v4, capped) with all features."""
     n = norm(spark, sf)
-    s1, tg = n.where(F.col("src") == 1), n.where(F.col("src") != 1)
-    pairs = bl.block(s1, tg, "v4", MAX_CANDIDATES_V4).select("s1_id", "cand_id")
+    pairs = blocked(spark, sf, "v4").select("s1_id", "cand_id")
     return fe.all_features(pairs, n), n
 
 
@@ -593,8 +595,9 @@ tf AS (SELECT entity_id, gram, count(*) AS tf FROM (SELECT entity_id, unnest({_G
 dfg AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
 w0 AS (SELECT entity_id, gram, tf * (ln((1 + (SELECT count(*) FROM norm)) / (1 + df)) + 1) AS w FROM tf JOIN dfg USING (gram)),
 w AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM w0),
-cos AS (SELECT b.s1_id, b.cand_id, round(coalesce((SELECT sum(x.w * y.w) FROM w x JOIN w y ON x.gram = y.gram
-          WHERE x.entity_id = b.s1_id AND y.entity_id = b.cand_id), 0.0), 6) AS tfidf_cosine FROM blk b)"""
+cos AS (SELECT b.s1_id, b.cand_id, round(coalesce(sum(x.w * y.w), 0.0), 6) AS tfidf_cosine
+        FROM blk b LEFT JOIN w x ON x.entity_id = b.s1_id LEFT JOIN w y ON y.entity_id = b.cand_id AND y.gram = x.gram
+        GROUP BY b.s1_id, b.cand_id)"""
 register("pair_tfidf", f"{_TFIDF} SELECT * FROM cos")(_pair_tfidf)
 register("tfidf_topk", f"""{_TFIDF}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY tfidf_cosine DESC, cand_id) AS rank FROM cos) WHERE rank <= 10""")(
