@@ -9,6 +9,7 @@ recomputing normalisation — and spares each query the regex work.
 from __future__ import annotations
 
 import hashlib
+import os
 import threading
 from collections.abc import Callable
 
@@ -28,7 +29,8 @@ def _fs(spark: SparkSession, path: str):
 
 def _signature(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
     """Input folder + table names + sizes and modification times."""
-    parts = [STAGE_VERSION, sf_dir.rstrip("/")]
+    # MATCHBOOK_STAGE_TAG forces fresh stages (bench.py sets it per run)
+    parts = [STAGE_VERSION, os.environ.get("MATCHBOOK_STAGE_TAG", ""), sf_dir.rstrip("/")]
     for t in tables:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
         st = fs.getFileStatus(p)
