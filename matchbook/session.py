@@ -20,6 +20,9 @@ DEFAULT_CONF = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "matchbook") -> SparkSession:
     """Return the active session or build a local one (tests, bench)."""
@@ -45,14 +48,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
 
-    On a cluster this setting names a shared folder; a machine-local temp
-    folder is only acceptable for local tests, which is the only case where
-    the setting is absent.
+    On a cluster this setting names a shared folder and must be set; only a
+    session with a local master, as in tests, gets a temp folder of its own.
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(sc.applicationId)
     if not d:
-        d = tempfile.mkdtemp(prefix="matchbook-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="matchbook-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
