@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchbook.llm import chat, mixing, quality
+from matchbook.llm import chat, decontaminate, mixing, quality, tokens
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,22 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents"))
 
 
+@register("op2_decontaminate", decontaminate.ORACLE)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @register("op5_quality_rules", quality.ORACLE)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+@register("op7_token_shards")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.tokenize_documents(table(spark, sf, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @register("op10_chat_formatting", chat.ORACLE)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(table(spark, sf, "conversations"))
