@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from matchbook.session import ensure_checkpoint_dir
+from matchbook.session import ensure_checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)

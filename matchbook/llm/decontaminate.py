@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchbook.llm.common import without, written
+from matchbook.llm.common import map_arrow, without, written
 
 NGRAM = 10
 BLOCK_CHARS = 16_000_000
@@ -203,13 +203,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     schema = lambda df: T.StructType([*df.schema.fields, *_ADDED_FIELDS])
     if n_blocks == 1:
         shared = spark.sparkContext.broadcast(next(_blocks(items, 1)))
-        found = docs.mapInArrow(_scanner(shared, ngram, False), schema(docs))
+        found = map_arrow(docs, _scanner(shared, ngram, False), schema(docs))
     else:
         texts = docs.select("text", F.sha2("text", 256).alias("__digest"))
         parts = []
         for block in _blocks(items, n_blocks):
             shared = spark.sparkContext.broadcast(block)
-            scanned = texts.mapInArrow(_scanner(shared, ngram, True), T.StructType(
+            scanned = map_arrow(texts, _scanner(shared, ngram, True), T.StructType(
                 [T.StructField("__digest", T.StringType()), *_ADDED_FIELDS]))
             one = scanned.groupBy("__digest").agg(F.first("hit_spans").alias("s"), F.first("hit_items").alias("i"))
             parts.append(written(one, "hits"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchbook.llm import chat, decontaminate, mixing, quality, tokens
+from matchbook.llm import chat, decontaminate, mixing, quality, tokens, urlfilter
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@register("op3_url_filter", urlfilter.ORACLE)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf, "pages").select("page_id", "url")).drop("url")
+
+
 @register("op5_quality_rules", quality.ORACLE)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "clean_text")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import scratch_path
+from matchbook.llm.common import map_arrow, scratch_path
 from matchbook.llm.wavelet import WaveletMatrix
 
 SHARD_IDS = 1 << 20
@@ -195,11 +195,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-     .repartitionByRange(n, F.col("doc_id"))
-     .sortWithinPartitions("doc_id", "text")
-     .mapInArrow(_shards(tokenizer, end_id, shard_ids), SHARD_SCHEMA)
-     .write.option("compression", "zstd").parquet(path))
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+               .repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text"))
+    shards = map_arrow(ordered, _shards(tokenizer, end_id, shard_ids), SHARD_SCHEMA)
+    shards.write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +225,7 @@ def read_token_shards(spark, path: str) -> DataFrame:
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_offset"))
-    docs = shards.mapInArrow(_read, DOCS_SCHEMA)
+    docs = map_arrow(shards, _read, DOCS_SCHEMA)
     return (docs.join(F.broadcast(offsets), "part")
             .select("doc_id", "part", "shard", (F.col("part_offset") + F.col("local_start")).alias("start"),
                     "n_tokens", "ids_crc32"))
