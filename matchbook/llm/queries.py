@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchbook.llm import chat, decontaminate, mixing, quality, tokens, urlfilter
+from matchbook.llm import chat, decontaminate, langid, mixing, quality, substrings, tokens, urlfilter
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,19 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.tokenize_documents(table(spark, sf, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@register("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.language_model(docs)
+    return langid.identify(langid.held_out(docs.select("doc_id", "text")), model) \
+        .select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op9_sentence_spans")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.dedup_spans(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @register("op10_chat_formatting", chat.ORACLE)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(table(spark, sf, "conversations"))
