@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchbook.llm import chat, decontaminate, langid, mixing, quality, substrings, tokens, urlfilter
+from matchbook.llm import chat, decontaminate, langid, mixing, neardup, quality, substrings, tokens, urlfilter
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+@register("op6_near_duplicates")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")) \
+        .select("doc_id", "class_id", "is_representative")
+
+
 @register("op7_token_shards")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.tokenize_documents(table(spark, sf, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
