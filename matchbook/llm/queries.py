@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchbook.llm import chat, decontaminate, langid, mixing, neardup, quality, substrings, tokens, urlfilter
+from matchbook.llm import chat, decontaminate, langid, mixing, neardup, quality, substrings, tokens, urlfilter, wrappers
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf, "pages").select("page_id", "url")).drop("url")
 
 
+@register("op4_html_wrappers")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 @register("op5_quality_rules", quality.ORACLE)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "clean_text")
