@@ -40,6 +40,7 @@ SALTS = 64
 BROADCAST_HOSTS = 50_000  # times some hundred bytes
 TEMPLATE_PAGES = 20  # a text is template if it is the same on at least so many pages of a host, and on all
 LONGEST_GROUP = 4  # elements of a repeated sequence
+DEEPEST = 60  # nesting of elements that the wrappers tell apart
 ADDED = ("text", "n_chars")
 
 # Element names by their meaning
@@ -107,7 +108,7 @@ def parse(page: str) -> Node:
                 leaf.text = text
                 stack[-1].children.append(leaf)
 
-    at = 0
+    at = over = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             buffer.append(page[at:m.start()])
@@ -121,6 +122,9 @@ def parse(page: str) -> Node:
             buffer.append(" ")
             continue
         flush()
+        if len(stack) >= DEEPEST and (over or not m[2]) and name not in VOID:
+            over += -1 if m[2] else 1  # deeper elements only part their texts
+            continue
         if m[2]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
