@@ -345,15 +345,15 @@ def _merge_part(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _merge_rules(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"wrapper_host": [rows["host"].iloc[0]], "rules": [json.dumps(rules_of(_merge_all(rows)))]})
+    return pd.DataFrame({"__wrapper_host": [rows["host"].iloc[0]], "rules": [json.dumps(rules_of(_merge_all(rows)))]})
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """(wrapper_host, rules): a row a host with a page that is not empty."""
+    """(__wrapper_host, rules): a row a host with a page that is not empty."""
     ship_package(pages.sparkSession)
     parts = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), _infer, "host string, salt int, wrapper string")
     merged = parts.groupBy("host", "salt").applyInPandas(_merge_part, "host string, salt int, wrapper string")
-    return merged.groupBy("host").applyInPandas(_merge_rules, "wrapper_host string, rules string")
+    return merged.groupBy("host").applyInPandas(_merge_rules, "__wrapper_host string, rules string")
 
 
 def _read(names: list[str]):
@@ -383,7 +383,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rules = written(host_rules(pages), "rules").withColumnRenamed("rules", "__rules")
     small = rules.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     with_host = pages.withColumn("__host", host_of(F.col("url")))
-    joined = with_host.join(F.broadcast(rules) if small else rules, F.col("__host") == F.col("wrapper_host"), "left")
+    joined = with_host.join(F.broadcast(rules) if small else rules, F.col("__host") == F.col("__wrapper_host"), "left")
     names = [c for c in pages.columns if c != "html"]
     schema = T.StructType([*pages.select(*[f"`{c}`" for c in names]).schema.fields, T.StructField("text", T.StringType())])
     read = map_arrow(joined.select(*[f"`{c}`" for c in names], "html", "__rules"), _read(names), schema)
