@@ -53,7 +53,8 @@ def tune_threshold(s1: DataFrame, truth: DataFrame, scored: DataFrame) -> DataFr
     m = F.size(F.filter(grid, lambda g: F.col("score") > g))
     per_m = (lab.groupBy("s1_id", m.alias("m"))
              .agg(F.count(F.lit(1)).alias("np"), F.count("is_true").alias("ntp")))
-    per_j = (per_m.select("s1_id", "np", "ntp", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    # a score of 0 or null is above no threshold; sequence(0, -1) would run backwards
+    per_j = (per_m.where(F.col("m") > 0).select("s1_id", "np", "ntp", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
              .groupBy("s1_id", "j").agg(F.sum("np").alias("n_pred"), F.sum("ntp").alias("tp")))
     n_true = truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
     base = (s1.select(F.col("entity_id").alias("s1_id"))

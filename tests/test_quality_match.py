@@ -36,3 +36,12 @@ def test_f05_worked_example_and_singletons(spark):
                                   ("S1-c", "S2-5")], "s1_id string, cand_id string")
     per = {r.s1_id: r.f05 for r in mt.f05_per_entity(s1, truth, pred).collect()}
     assert per == {"S1-a": 0.714286, "S1-b": 1.0, "S1-c": 0.0, "S1-d": 0.0}
+
+
+def test_tune_threshold_with_zero_and_null_scores(spark):
+    s1 = spark.createDataFrame([("S1-a",)], "entity_id string")
+    truth = spark.createDataFrame([("S1-a", "S2-1")], "s1_id string, cand_id string")
+    scored = spark.createDataFrame([("S1-a", "S2-1", 0.9), ("S1-a", "S2-2", 0.0), ("S1-a", "S2-3", None)],
+                                   "s1_id string, cand_id string, score double")
+    got = {r.threshold: r.f05_macro for r in mt.tune_threshold(s1, truth, scored).collect()}
+    assert got[0.0] == 1.0 and got[0.85] == 1.0 and got[0.95] == 0.0
