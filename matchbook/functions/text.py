@@ -88,8 +88,7 @@ def _regex_literal(s: str) -> str:
     return s.replace(".", r"\.")
 
 
-SUFFIX_PATTERNS = [r"[,\s]*\b" + _regex_literal(s) + r"\.?\s*$" for s in LEGAL_SUFFIXES]
-SUFFIX_PASS_REVERSED = "^" + "".join(
+SUFFIX_PASS_REVERSED = "(?i)^" + "".join(
     r"(?:\s*\.?" + _regex_literal(s[::-1]) + r"\b[,\s]*)?" for s in LEGAL_SUFFIXES)
 PHONE_PATTERN = r"(?i)\b(ph\.?\s*)?\d{6,}\b"
 PUNCT_PATTERN = r"[^\w\s]"
@@ -102,7 +101,7 @@ PIN6_PATTERN = r"\b(\d{6})\b"
 # ---------------------------------------------------------------------------
 
 def strip_legal_suffixes(c: Column) -> Column:
-    """One ordered pass over the suffix list, each anchored at the end.
+    """One ordered pass over the suffix list in any letter case, each anchored at the end.
 
     Equivalent to applying ``[,\\s]*\\b<suffix>\\.?\\s*$`` for each suffix in
     order, then trimming ``,. ``. The work runs on the reversed string, where

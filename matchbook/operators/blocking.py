@@ -3,13 +3,15 @@
 Semantics (reference phase 3): for every S1 record, the union over its keys of
 all S2/S3 records sharing that key, without itself, capped at ``cap``
 candidates per S1. The reference's cap keeps an arbitrary subset; we keep the
-first ``cap`` by ``(most specific shared key, cand_id)``, which is
-deterministic.
+first ``cap`` by ``(most specific shared key, md5 of cand_id, cand_id)``: this
+is deterministic, and the hash prefers no source where the id would (every
+``S2-`` sorts before every ``S3-``). The number of shared keys is no part of
+the order, as it is not known before the join.
 
 Scale design. A key block's join output is |S1_k| x |T_k|, quadratic in a hot
 key (``n1all`` = country + first token). Because a candidate's rank depends
 only on its best shared key and its id, every candidate kept for any S1 is
-among the first ``cap + 1`` ids of that key's target block (proof in
+among the first ``cap + 1`` ids, in order of their hash, of that key's target block (proof in
 ``truncate_blocks``). So each block is truncated *before* the join with a
 per-key ``row_number`` (Spark runs it as a partial top-k before the shuffle),
 and the join then emits at most ``(cap + 1)`` rows per (S1, key): linear in
@@ -19,25 +21,32 @@ uncapped union — tests check this against a brute-force oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.operators.keys import KEY_PRIORITY, explode_keys, priority_of, profile_tags
 
 
+def id_order(col: str) -> list[Column]:
+    """Order of ids that prefers no prefix; equal hashes go by the id."""
+    return [F.md5(F.col(col)), F.col(col)]
+
+
 def truncate_blocks(target_keys: DataFrame, keep: int) -> DataFrame:
-    """Keep the first ``keep`` targets (by id) of every (tag, key) block.
+    """Keep the first ``keep`` targets (by ``id_order``) of every (tag, key) block.
+
+    Rows that repeat an id share its place.
 
     Exactness: if candidate c is in an S1's final top ``cap`` with best key
-    k, every target of block k with a smaller id ranks ahead of c (its best
+    k, every target of block k with an earlier id ranks ahead of c (its best
     key is at least as specific), so fewer than ``cap`` of them exist and c
     survives truncation of block k at ``cap + 1`` (one slot spare for the
     self id). Candidates that survive only through a less specific key rank
     no better than truly, so the top ``cap`` is unchanged. ``cap + 1`` also
     keeps "more than cap candidates" detectable.
     """
-    w = Window.partitionBy("tag", "key").orderBy("entity_id")
-    return (target_keys.withColumn("_rk", F.row_number().over(w))
+    w = Window.partitionBy("tag", "key").orderBy(*id_order("entity_id"))
+    return (target_keys.withColumn("_rk", F.dense_rank().over(w))
             .where(F.col("_rk") <= keep).drop("_rk"))
 
 
@@ -68,8 +77,8 @@ def dedup_pairs(joined: DataFrame, version: str) -> DataFrame:
 
 
 def cap_candidates(pairs: DataFrame, cap: int) -> DataFrame:
-    """First ``cap`` candidates per S1 by (prio, cand_id)."""
-    w = Window.partitionBy("s1_id").orderBy("prio", "cand_id")
+    """First ``cap`` candidates per S1 by (prio, ``id_order``)."""
+    w = Window.partitionBy("s1_id").orderBy("prio", *id_order("cand_id"))
     return (pairs.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= cap + 1))
 

@@ -187,7 +187,7 @@ j AS (
   FROM keysp s JOIN keysp t ON s.tag = t.tag AND s.key = t.key
   WHERE s.src = 1 AND t.src <> 1 AND s.entity_id <> t.entity_id),
 p AS (SELECT s1_id, cand_id, arg_min(tag, prio) AS best_key, min(prio) AS prio FROM j GROUP BY s1_id, cand_id),
-blk_all AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prio, cand_id) AS rank FROM p),
+blk_all AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prio, md5(cand_id), cand_id) AS rank FROM p),
 blk AS (SELECT s1_id, cand_id, best_key, rank FROM blk_all WHERE rank <= {cap}),
 s1 AS (SELECT entity_id FROM records WHERE src = 1),
 counts AS (

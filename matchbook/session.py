@@ -48,18 +48,18 @@ def ship_package(spark: SparkSession) -> None:
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "matchbook") -> SparkSession:
-    """Return the active session or build a local one (tests, bench)."""
+    """Return the active session, the one of ``spark-submit`` with its own settings, or a local one (tests, bench)."""
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (SparkSession.builder
-               .master(master or f"local[{cpus}]")
-               .appName(app_name)
-               .config("spark.driver.memory", "16g")
-               .config("spark.sql.shuffle.partitions",
-                       str(shuffle_partitions or int(cpus))))
+    builder = SparkSession.builder.appName(app_name)
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    if master or not submitted:
+        builder = builder.master(master or f"local[{cpus}]").config("spark.driver.memory", "16g")
+    if shuffle_partitions or not submitted:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -14,7 +14,7 @@ def _brute_force(s1, tg, version, cap):
     j = bl.probe(explode_keys(s1, version), explode_keys(tg, version))
     prio = F.create_map(*[x for t, p in KEY_PRIORITY.items() for x in (F.lit(t), F.lit(p))])
     p = j.groupBy("s1_id", "cand_id").agg(F.min(prio[F.col("tag")]).alias("prio"))
-    w = Window.partitionBy("s1_id").orderBy("prio", "cand_id")
+    w = Window.partitionBy("s1_id").orderBy("prio", F.md5("cand_id"), "cand_id")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
@@ -30,6 +30,22 @@ def test_truncated_join_equals_brute_force_for_small_caps(spark):
         assert fast.groupBy("s1_id").count().agg(F.max("count")).first()[0] <= cap
 
 
+def test_repeated_target_rows_take_one_place(spark):
+    s1, tg = split_norm(spark, SF0001)
+    assert _set(bl.block(s1, tg.unionByName(tg), "v4", 7)) == _set(bl.block(s1, tg, "v4", 7))
+
+
+def test_cap_prefers_no_source(spark):
+    """Of a block of equal names the cap keeps both sources, whatever their ids."""
+    s1, tg = split_norm(spark, SF0001)
+    one = tg.limit(1).drop("entity_id", "src")
+    many = spark.range(400).selectExpr("concat('S', 2 + id % 2, '-', id) AS entity_id", "CAST(2 + id % 2 AS INT) AS src") \
+        .join(one).select(*tg.columns)
+    query = one.selectExpr("'S1-x' AS entity_id", "1 AS src", "*").select(*tg.columns)
+    n = {r[0]: r[1] for r in bl.block(query, many, "v4", 100).groupBy(F.substring("cand_id", 1, 2)).count().collect()}
+    assert sum(n.values()) == 100 and min(n["S2"], n["S3"]) > 30
+
+
 def test_capped_is_subset_of_uncapped(spark):
     s1, tg = split_norm(spark, SF0001)
     small, big = _set(bl.block(s1, tg, "v2", 5)), _set(bl.block(s1, tg, "v2", 10_000))

@@ -20,6 +20,9 @@ def test_stream_parts_compact_to_batch_result(spark):
     # three arrival files, split by a hash of the id
     for i in range(3):
         tg.where(F.pmod(F.xxhash64("entity_id"), F.lit(3)) == i).write.parquet(f"{arrivals}/f{i}")
+    # records that are sent again, in a file of their own and twice in it
+    again = tg.where(F.pmod(F.xxhash64("entity_id"), F.lit(5)) == 0)
+    again.unionByName(again).write.parquet(f"{arrivals}/f3")
     spark.conf.set("spark.sql.streaming.schemaInference", "false")
     q = ib.start(spark, f"{arrivals}/*", s1, f"{scratch}/out", f"{scratch}/ckpt", cap=7,
                  max_files_per_trigger=2)
