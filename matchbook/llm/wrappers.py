@@ -253,9 +253,12 @@ def rules_of(wrapper: list) -> dict:
              lambda n, w: n in ("div", "section", "td") and bool(MAIN_WORDS.intersection(w))]
     path, main = (), wrapper
     for fits in tiers:
-        own = [(p, w) for p, w in found if fits(*_words(w[KEY]))]
-        if own:
-            path, main = max(own, key=lambda x: (kept_chars(x[1]), -len(x[0])))
+        own: dict[tuple[str, ...], list] = {}
+        for p, w in found:
+            if fits(*_words(w[KEY])):
+                own.setdefault(p, []).append(w)
+        if own:  # one path can stand for several siblings
+            path, main = max(own.items(), key=lambda x: (sum(map(kept_chars, x[1])), -len(x[0])))
             break
     else:  # down to the smallest element that has most of the text
         while True:
@@ -264,6 +267,7 @@ def rules_of(wrapper: list) -> dict:
             if not best or best[1][REPEATED] or kept_chars(best[1]) < 0.7 * kept_chars(main):
                 break
             path, main = best
+        main = [main]
     constant: list[int] = []
     total = {"all": 0, "slots": 0}
 
@@ -278,18 +282,19 @@ def rules_of(wrapper: list) -> dict:
             else:
                 walk(c, repeated or c[REPEATED], heading or _words(c[KEY])[0] in HEADINGS)
 
-    walk(main, False, False)
+    for w in main:
+        walk(w, False, False)
     return {"path": list(path), "template": constant if 2 * total["slots"] >= total["all"] else []}
 
 
 # -- extraction ---------------------------------------------------------------
 
-def _find(node: Node, path: list[str]) -> Node | None:
-    """The element at a path; of several the one with most text."""
-    if not path:
-        return node
-    found = [x for x in (_find(c, path[1:]) for c in node.children if c.key == path[0]) if x]
-    return max(found, key=lambda x: sum(map(len, texts_of(x, True))), default=None)
+def _find(node: Node, path: list[str]) -> list[Node]:
+    """The elements at a path, in page order, without those that are dropped."""
+    found = [node]
+    for key in path:
+        found = [c for x in found for c in x.children if c.key == key and not dropped(c, False)]
+    return found
 
 
 def texts_of(node: Node, in_article: bool) -> list[str]:
@@ -307,10 +312,8 @@ def texts_of(node: Node, in_article: bool) -> list[str]:
 def extract(page: str, rules: dict) -> str:
     """Texts of the article's slots in page order; of the whole page's kept elements if it lacks the path."""
     root = parse(page)
-    main = _find(root, rules["path"])
-    if main is None:
-        main = _find(root, rules_of(wrapper_of(root))["path"]) or root
-    texts = texts_of(main, main.name in ("article", "main"))
+    main = _find(root, rules["path"]) or _find(root, rules_of(wrapper_of(root))["path"]) or [root]
+    texts = [t for x in main for t in texts_of(x, x.name in ("article", "main"))]
     template = set(rules["template"])
     return " ".join(t for t in texts if not template or xxh3_64_intdigest(t) not in template)
 
