@@ -82,7 +82,8 @@ class PieceEncoder:
     newline, and between a Latin word and a full stop or comma at the end of a
     piece. So a text without other or adjacent white space is the
     concatenation of its space-separated pieces, and each distinct piece is
-    encoded once; other texts are encoded whole.
+    encoded once; other texts are encoded whole, and so are texts with the
+    string of an added token, which the library cuts out before all else.
     """
 
     def __init__(self, path: str):
@@ -91,7 +92,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.model, self.alphabet = self.tokenizer.model, _byte_chars()
         self.newline = self.whole("\n")
         self.mark = {c: self.whole(c) for c in ".,"}
@@ -110,6 +112,9 @@ class PieceEncoder:
         """Little-endian 32-bit ids of each text."""
         out = []
         for text in texts:
+            if self.added(text):
+                out.append(self.whole(text))
+                continue
             pieces = text.split(" ")
             try:
                 out.append(self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])))
