@@ -4,8 +4,8 @@ A page is read as a tree of block elements with text slots. The pages of a
 host are aligned one after the other into a wrapper, a union-free regular
 expression over such trees: siblings of one kind and repeated sequences become
 repeated groups, elements that some pages lack become optional ones, and texts
-that differ become slots, while texts that are the same on all pages are part
-of the template. The wrapper then tells where a host keeps its article: its
+that differ become slots, while a text that outvotes the others of its place,
+from two pages of different text on, is part of the template. The wrapper then tells where a host keeps its article: its
 data slots are read from every page, template text and what the element names
 mark as menus, adverts, comments and so on is left out.
 
@@ -38,7 +38,7 @@ from matchbook.llm.urlfilter import host_of
 
 SALTS = 64
 BROADCAST_HOSTS = 50_000  # times some hundred bytes
-TEMPLATE_PAGES = 20  # a text is template if it is the same on at least so many pages of a host, and on all
+TEMPLATE_SHARE = 0.8  # a text is template if it outvotes the others of its place by this share of the place's pages
 LONGEST_GROUP = 4  # elements of a repeated sequence
 DEEPEST = 60  # nesting of elements that the wrappers tell apart
 ADDED = ("text", "n_chars")
@@ -153,23 +153,38 @@ def dropped(node: Node, in_article: bool) -> bool:
     return bool(DROPPED_WORDS.intersection(node.words)) and node.name not in ("article", "main")
 
 
-# -- wrappers: [key, pages, optional, repeated, characters, text hash or 0, children] --------------
+# -- wrappers: [key, pages, optional, repeated, characters, text hash, its votes, page or 0, children] --
+# The hash is the majority vote over the pages: each page with another text takes one vote away, so a
+# text on nine pages of ten has at least eight votes a ten. PAGE is the digest of the page that voted,
+# 0 once two pages of different text agree: copies of one page make no template.
 
-KEY, PAGES, OPTIONAL, REPEATED, CHARS, HASH, CHILDREN = range(7)
+KEY, PAGES, OPTIONAL, REPEATED, CHARS, HASH, VOTES, PAGE, CHILDREN = range(9)
 
 
-def wrapper_of(node: Node) -> list:
+def wrapper_of(node: Node, page: int | None = None) -> list:
     """The wrapper that fits exactly this element."""
+    if page is None:
+        page = xxh3_64_intdigest(" ".join(texts_of(node, False))) or 1
     if node.name == "#":
-        return ["#", 1, False, False, len(node.text), xxh3_64_intdigest(node.text) or 1, []]
-    return [node.key, 1, False, False, 0, 0, fold([wrapper_of(c) for c in node.children])]
+        return ["#", 1, False, False, len(node.text), xxh3_64_intdigest(node.text) or 1, 1, page, []]
+    return [node.key, 1, False, False, 0, 0, 0, 0, fold([wrapper_of(c, page) for c in node.children])]
+
+
+def _vote(a: list, b: list, same_page: bool) -> tuple[int, int, int]:
+    if a[HASH] == b[HASH]:
+        votes = max(a[VOTES], b[VOTES]) if same_page else a[VOTES] + b[VOTES]
+        return a[HASH], votes, a[PAGE] if a[PAGE] == b[PAGE] else 0
+    if same_page or a[VOTES] == b[VOTES]:
+        return 0, 0, 0
+    most, least = (a, b) if a[VOTES] > b[VOTES] else (b, a)
+    return most[HASH], most[VOTES] - least[VOTES], most[PAGE]
 
 
 def merge(a: list, b: list, same_page: bool = False) -> list:
     """Align two wrappers of one key."""
     pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
     return [a[KEY], pages, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or same_page, a[CHARS] + b[CHARS],
-            a[HASH] if a[HASH] == b[HASH] else 0, align(a[CHILDREN], b[CHILDREN], same_page)]
+            *_vote(a, b, same_page), align(a[CHILDREN], b[CHILDREN], same_page)]
 
 
 def _optional(item: list) -> list:
@@ -209,7 +224,7 @@ def fold(items: list[list]) -> list[list]:
             if size == 1:
                 out += merged
             else:
-                out.append(["(" + " ".join(here) + ")", max(x[PAGES] for x in merged), False, True, 0, 0, merged])
+                out.append(["(" + " ".join(here) + ")", max(x[PAGES] for x in merged), False, True, 0, 0, 0, 0, merged])
             i += n * size
         items = out
     return items
@@ -268,6 +283,7 @@ def rules_of(wrapper: list) -> dict:
                 break
             path, main = best
         main = [main]
+    pages = max(w[PAGES] for w in main)  # with the article's element; an error page may lack it
     constant: list[int] = []
     total = {"all": 0, "slots": 0}
 
@@ -275,10 +291,11 @@ def rules_of(wrapper: list) -> dict:
         for c in w[CHILDREN]:
             if c[KEY] == "#":
                 total["all"] += c[CHARS]
-                if not c[HASH]:
-                    total["slots"] += c[CHARS]
-                elif not (repeated or c[REPEATED] or heading) and c[PAGES] >= TEMPLATE_PAGES and c[PAGES] == wrapper[PAGES]:
+                agreed = c[HASH] and not c[PAGE] and c[VOTES] >= TEMPLATE_SHARE * c[PAGES] and 2 * c[VOTES] > pages
+                if agreed and not (repeated or c[REPEATED] or heading):
                     constant.append(c[HASH])
+                elif not c[HASH] or c[VOTES] < c[PAGES]:
+                    total["slots"] += c[CHARS]
             else:
                 walk(c, repeated or c[REPEATED], heading or _words(c[KEY])[0] in HEADINGS)
 

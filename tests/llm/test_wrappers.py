@@ -29,3 +29,29 @@ def test_article_in_siblings(n, tag, between):
     for i in range(4):
         assert wrappers.extract(page(i), rules) == " ".join(
             f"Page {i} part {k} {'and so on ' * k}ends." for k in range(n))
+
+
+def _page(i, notice="<div>Always the same notice.</div>"):
+    return (f"<body><article><h1>Title</h1>{notice}<p>Body {i} of a page, {'more ' * (i % 7)}words.</p><p>End {i}.</p></article></body>")
+
+
+@pytest.mark.parametrize("error", [None, "<body><p>Error 500</p></body>", "<body><article><h1>Error</h1></article></body>",
+                                   _page(9999, "<div>Another notice.</div>")])
+@pytest.mark.parametrize("n", [2, 19, 20, 200])
+def test_template_at_any_number_of_pages(n, error):
+    pages = [_page(i) for i in range(n)]
+    at_place = error is not None and "Another" in error
+    pages[n // 2:n // 2] = [error] if error else []
+    rules = _host(pages)
+    template = n > 2 or not at_place  # one page of three says otherwise: undecided, so nothing is dropped
+    for i in (0, n - 1):
+        notice = "" if template else " Always the same notice."
+        assert wrappers.extract(_page(i), rules) == f"Title{notice} Body {i} of a page, {'more ' * (i % 7)}words. End {i}."
+    if at_place:
+        assert "Another notice." in wrappers.extract(error, rules)
+
+
+def test_copies_make_no_template():
+    a, b = _page(1, "<div>Only here.</div>"), _page(2, "")
+    for pages in ([a, a], [a] * 25, [a, a, a, b], [b, *[a] * 30]):
+        assert "Only here." in wrappers.extract(a, _host(pages))
