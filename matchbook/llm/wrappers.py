@@ -23,6 +23,8 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -40,7 +42,6 @@ SALTS = 64
 BROADCAST_HOSTS = 50_000  # times some hundred bytes
 TEMPLATE_SHARE = 0.8  # a text is template if it outvotes the others of its place by this share of the place's pages
 LONGEST_GROUP = 4  # elements of a repeated sequence
-DEEPEST = 60  # nesting of elements that the wrappers tell apart
 ADDED = ("text", "n_chars")
 
 # Element names by their meaning
@@ -98,6 +99,11 @@ def parse(page: str) -> Node:
     """The tree of block elements of a page; texts are decoded, white space is one blank."""
     root = Node("html")
     stack, buffer = [root], []
+    open_names = Counter()
+
+    def close(depth: int) -> None:
+        open_names.subtract(x.name for x in stack[depth:])
+        del stack[depth:]
 
     def flush() -> None:
         if buffer:
@@ -108,7 +114,7 @@ def parse(page: str) -> Node:
                 leaf.text = text
                 stack[-1].children.append(leaf)
 
-    at = over = 0
+    at = deepest = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             buffer.append(page[at:m.start()])
@@ -122,28 +128,35 @@ def parse(page: str) -> Node:
             buffer.append(" ")
             continue
         flush()
-        if len(stack) >= DEEPEST and (over or not m[2]) and name not in VOID:
-            over += -1 if m[2] else 1  # deeper elements only part their texts
-            continue
         if m[2]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if depth:
-                del stack[depth:]
+            if open_names[name] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name in ("html", "body"):
             continue
         ends = CLOSES.get(name, {"p"} | HEADINGS if name in HEADINGS else {"p"})
-        if stack[-1].name in ends:
-            stack.pop()
+        if len(stack) > 1 and stack[-1].name in ends:
+            close(len(stack) - 1)
         node = _element(name, m[4])
         stack[-1].children.append(node)
         if name not in VOID and not m[4].endswith("/"):
             stack.append(node)
+            open_names[name] += 1
+            deepest = max(deepest, len(stack))
     buffer.append(page[at:])
     flush()
+    allow_depth(deepest)
     return root
 
 
+def allow_depth(n: int) -> None:
+    """Let the functions below recurse into trees of this depth: four frames a level at most, all of them Python's own.
+
+    They call each other directly, not from within sum() or a generator, so that no level takes C stack.
+    """
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 5 * n + 1000))
+
+
 def dropped(node: Node, in_article: bool) -> bool:
     """True for elements whose name, role or class says that they are no article text."""
     if node.name in DROPPED or node.role in DROPPED_ROLES or node.hidden:
@@ -230,10 +243,6 @@ def fold(items: list[list]) -> list[list]:
     return items
 
 
-def chars(w: list) -> int:
-    return w[CHARS] + sum(map(chars, w[CHILDREN]))
-
-
 def _words(key: str) -> tuple[str, list[str]]:
     name, *words = key.split(".")
     return name, words
@@ -244,44 +253,68 @@ def _as_node(w: list) -> Node:
     return Node(name, tuple(words))
 
 
-def _candidates(w: list, path: tuple[str, ...], kept: bool) -> Iterator[tuple[tuple[str, ...], list]]:
-    """Elements that are not dropped, with their paths; groups have no step of their own."""
-    for child in w[CHILDREN]:
+def _steps(w: list) -> list[list]:
+    """Child elements that are not dropped; groups have no step of their own."""
+    out, todo = [], list(reversed(w[CHILDREN]))
+    while todo:
+        child = todo.pop()
         if child[KEY].startswith("("):
-            yield from _candidates(child, path, kept)
+            todo += reversed(child[CHILDREN])
         elif child[KEY] != "#" and not dropped(_as_node(child), False):
-            here = (*path, child[KEY])
-            yield here, child
-            yield from _candidates(child, here, kept)
+            out.append(child)
+    return out
 
 
-def kept_chars(w: list) -> int:
-    """Characters outside dropped elements."""
-    return w[CHARS] + sum(kept_chars(c) for c in w[CHILDREN]
-                          if c[KEY][0] in "#(" or not dropped(_as_node(c), False))
+def kept_chars(w: list, found: dict[int, int]) -> int:
+    """Characters outside dropped elements; ``found`` gets those of each element, by its id()."""
+    n = w[CHARS]
+    for c in w[CHILDREN]:
+        if c[KEY][0] in "#(" or not dropped(_as_node(c), False):
+            n += kept_chars(c, found)
+    found[id(w)] = n
+    return n
+
+
+def _path(link: tuple | None) -> tuple[str, ...]:
+    out = []
+    while link:
+        link, key = link
+        out.append(key)
+    return tuple(reversed(out))
 
 
 def rules_of(wrapper: list) -> dict:
     """Where the host keeps its article, and which texts there are template."""
-    found = list(_candidates(wrapper, (), True))
+    size: dict[int, int] = {}
+    kept_chars(wrapper, size)
     tiers = [lambda n, w: n == "article", lambda n, w: n == "main",
              lambda n, w: n in ("div", "section", "td") and bool(MAIN_WORDS.intersection(w))]
-    path, main = (), wrapper
-    for fits in tiers:
-        own: dict[tuple[str, ...], list] = {}
-        for p, w in found:
-            if fits(*_words(w[KEY])):
-                own.setdefault(p, []).append(w)
-        if own:  # one path can stand for several siblings
-            path, main = max(own.items(), key=lambda x: (sum(map(kept_chars, x[1])), -len(x[0])))
+    fitting: list[list] = [[] for _ in tiers]  # (depth, path as links, wrapper) in page order
+    todo, links = [(0, None, wrapper)], {}
+    while todo:
+        depth, link, w = todo.pop()
+        if link:
+            name, words = _words(w[KEY])
+            for tier, fits in zip(fitting, tiers):
+                if fits(name, words):
+                    tier.append((depth, link, w))
+        for c in reversed(_steps(w)):  # siblings of one key, also of several parents of one path, share a link
+            todo.append((depth + 1, links.setdefault((id(link), c[KEY]), (link, c[KEY])), c))
+    for tier in fitting:
+        if tier:
+            own: dict[int, list] = {}
+            for x in tier:
+                own.setdefault(id(x[1]), []).append(x)
+            best = max(own.values(), key=lambda x: (sum(size[id(w)] for *_, w in x), -x[0][0]))
+            path, main = _path(best[0][1]), [w for *_, w in best]
             break
     else:  # down to the smallest element that has most of the text
+        path, main = (), wrapper
         while True:
-            below = [(p, w) for p, w in _candidates([*main[:CHILDREN], main[CHILDREN]], path, True) if len(p) == len(path) + 1]
-            best = max(below, key=lambda x: kept_chars(x[1]), default=None)
-            if not best or best[1][REPEATED] or kept_chars(best[1]) < 0.7 * kept_chars(main):
+            best = max(_steps(main), key=lambda x: size[id(x)], default=None)
+            if not best or best[REPEATED] or size[id(best)] < 0.7 * size[id(main)]:
                 break
-            path, main = best
+            path, main = (*path, best[KEY]), best
         main = [main]
     pages = max(w[PAGES] for w in main)  # with the article's element; an error page may lack it
     constant: list[int] = []
@@ -315,17 +348,43 @@ def _find(node: Node, path: list[str]) -> list[Node]:
 
 
 def texts_of(node: Node, in_article: bool) -> list[str]:
-    out = []
-    for c in node.children:
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        c = todo.pop()
         if c.name == "#":
             out.append(c.text)
         elif c.name == "header" and in_article:
-            out += [t for h in c.children if h.name in HEADINGS for t in texts_of(h, True)]
+            todo += reversed([x for h in c.children if h.name in HEADINGS for x in h.children])
         elif not dropped(c, in_article):
-            out += texts_of(c, in_article)
+            todo += reversed(c.children)
     return out
 
 
+# -- wrappers as text: flat, as JSON's own nesting is bounded ------------------
+
+def pack(w: list) -> str:
+    out, todo = [], [(0, w)]
+    while todo:
+        depth, x = todo.pop()
+        out.append([depth, *x[:CHILDREN]])
+        todo += [(depth + 1, c) for c in reversed(x[CHILDREN])]
+    return json.dumps(out)
+
+
+def unpack(text: str) -> list:
+    parents: list[list] = []
+    deepest = 0
+    for depth, *fields in json.loads(text):
+        del parents[depth:]
+        item = [*fields, []]
+        if parents:
+            parents[-1][CHILDREN].append(item)
+        parents.append(item)
+        deepest = max(deepest, depth)
+    allow_depth(deepest)
+    return parents[0]
+
+
 def extract(page: str, rules: dict) -> str:
     """Texts of the article's slots in page order; of the whole page's kept elements if it lacks the path."""
     root = parse(page)
@@ -350,18 +409,18 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = TaskContext.get().partitionId() % SALTS
     yield pa.RecordBatch.from_pydict({"host": pa.array(list(wrappers), pa.string()),
                                       "salt": pa.array([salt] * len(wrappers), pa.int32()),
-                                      "wrapper": pa.array([json.dumps(w) for w in wrappers.values()], pa.string())})
+                                      "wrapper": pa.array([pack(w) for w in wrappers.values()], pa.string())})
 
 
 def _merge_all(rows: pd.DataFrame) -> list:
     out = None
     for text in sorted(rows["wrapper"]):  # any order of arrival gives one result
-        out = json.loads(text) if out is None else merge(out, json.loads(text))
+        out = unpack(text) if out is None else merge(out, unpack(text))
     return out
 
 
 def _merge_part(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [rows["salt"].iloc[0]], "wrapper": [json.dumps(_merge_all(rows))]})
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [rows["salt"].iloc[0]], "wrapper": [pack(_merge_all(rows))]})
 
 
 def _merge_rules(rows: pd.DataFrame) -> pd.DataFrame:

@@ -55,3 +55,29 @@ def test_copies_make_no_template():
     a, b = _page(1, "<div>Only here.</div>"), _page(2, "")
     for pages in ([a, a], [a] * 25, [a, a, a, b], [b, *[a] * 30]):
         assert "Only here." in wrappers.extract(a, _host(pages))
+
+
+@pytest.mark.parametrize("depth", [59, 60, 61, 200, 3000])
+@pytest.mark.parametrize("closed", [True, False])
+def test_deep_pages(depth, closed):
+    """Menus inside are dropped and the article ends at its end tag, however deep it stands."""
+    def page(i):
+        mark = "<center><div>" * (depth // 2)
+        end = "</div></center>" * (depth // 2) if closed else ""
+        inside = f"{mark}<p>Body {i}.</p><nav><div>Menu</div></nav><form><p>Send</p></form>{end}"
+        return (f"<body><div class='x'>{mark}<article><h1>Title</h1>{inside}<p>End {i}.</p></article>{end}</div>"
+                f"<div class='comments'><p>Comment {i}</p></div><footer>Footer</footer></body>")
+
+    rules = _host([page(i) for i in range(3)])
+    for i in range(3):
+        assert wrappers.extract(page(i), rules) == f"Title Body {i}. End {i}."
+
+
+def test_packed_wrappers():
+    own = wrappers.wrapper_of(wrappers.parse("<div>" * 2000 + "<p>a</p><p>b</p><ul><li>c</ul>"))
+    back, todo = wrappers.unpack(wrappers.pack(own)), []
+    todo.append((own, back))
+    while todo:
+        a, b = todo.pop()
+        assert a[:wrappers.CHILDREN] == b[:wrappers.CHILDREN] and len(a[-1]) == len(b[-1])
+        todo += zip(a[-1], b[-1])
