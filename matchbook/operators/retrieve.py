@@ -2,11 +2,12 @@
 
 * phonetic key: country + Soundex of the first name token (M01);
 * TF-IDF top-3 name-token key (M02);
-* BM25 top-K over candidate pairs (M04): each S1 name is the query, target
-  names are documents with per-country corpus statistics.
+* BM25 and TF-IDF rerankers of candidate pairs: each S1 name is the query,
+  target names are documents with per-country corpus statistics.
 
-BM25 ranks a bounded candidate set (the capped blocking pairs) instead of
-probing whole posting lists: a full postings join emits every pair that
+They rank a bounded candidate set (the capped blocking pairs) and are no
+retrieval (M04, M05 are open): what blocking does not offer is lost. They do
+not probe whole posting lists: a full postings join emits every pair that
 shares a term, which is quadratic for a hot term. Corpus statistics (N,
 average length, document frequency) still come from all targets.
 """
@@ -54,7 +55,7 @@ def keys_tfidf_top3(norm: DataFrame) -> DataFrame:
             .select("entity_id", F.lit("tfidf3").alias("tag"), F.concat_ws("|", "cty", "_t").alias("key")))
 
 
-def bm25_topk(pairs: DataFrame, norm_s1: DataFrame, norm_targets: DataFrame, k: int = 10) -> DataFrame:
+def rerank_bm25(pairs: DataFrame, norm_s1: DataFrame, norm_targets: DataFrame, k: int = 10) -> DataFrame:
     """Top ``k`` candidates per S1 by BM25 of the target name against the S1 name.
 
     idf = ln(1 + (N − df + 0.5)/(df + 0.5)), k1 = 1.2, b = 0.75, statistics
@@ -114,7 +115,7 @@ def pair_tfidf_cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
             .select("s1_id", "cand_id", F.round(F.coalesce("_c", F.lit(0.0)), 6).alias("tfidf_cosine")))
 
 
-def tfidf_topk(cos: DataFrame, k: int = 10) -> DataFrame:
-    """Top ``k`` candidates per S1 by gram TF-IDF cosine, ties by id."""
+def rerank_tfidf(cos: DataFrame, k: int = 10) -> DataFrame:
+    """Top ``k`` candidates per S1 by gram TF-IDF cosine, ties by id."""
     w = Window.partitionBy("s1_id").orderBy(F.desc("tfidf_cosine"), "cand_id")
     return (cos.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k))

@@ -543,7 +543,7 @@ def _score_pairs(spark, sf):
 register("score_pairs")(_score_pairs)
 
 # ---------------------------------------------------------------------------
-# Retrieval keys and rankers
+# Retrieval keys (M01, M02) and rerankers of the blocking pairs
 # ---------------------------------------------------------------------------
 
 from matchbook.operators import retrieve as rt  # noqa: E402
@@ -563,10 +563,10 @@ SELECT entity_id, 'tfidf3' AS tag, cty || '|' || array_to_string(list_sort(list(
 
 def _bm25(spark, sf):
     s1, tg = split_norm(spark, sf)
-    return rt.bm25_topk(bl.block(s1, tg, "v4", MAX_CANDIDATES_V4), s1, tg)
+    return rt.rerank_bm25(bl.block(s1, tg, "v4", MAX_CANDIDATES_V4), s1, tg)
 
 
-register("bm25_topk", f"""{_B4},
+register("bm25_rerank", f"""{_B4},
 docs AS (SELECT entity_id, cty, term, dl, count(*) AS tf FROM (
            SELECT entity_id, coalesce({O.strip_ws('lower(country)')}, '') AS cty, len({_NTT}) AS dl, unnest({_NTT}) AS term
            FROM norm WHERE src <> 1) GROUP BY ALL),
@@ -599,6 +599,6 @@ cos AS (SELECT b.s1_id, b.cand_id, round(coalesce(sum(x.w * y.w), 0.0), 6) AS tf
         FROM blk b LEFT JOIN w x ON x.entity_id = b.s1_id LEFT JOIN w y ON y.entity_id = b.cand_id AND y.gram = x.gram
         GROUP BY b.s1_id, b.cand_id)"""
 register("pair_tfidf", f"{_TFIDF} SELECT * FROM cos")(_pair_tfidf)
-register("tfidf_topk", f"""{_TFIDF}
+register("tfidf_rerank", f"""{_TFIDF}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY tfidf_cosine DESC, cand_id) AS rank FROM cos) WHERE rank <= 10""")(
-    lambda spark, sf: rt.tfidf_topk(_pair_tfidf(spark, sf)))
+    lambda spark, sf: rt.rerank_tfidf(_pair_tfidf(spark, sf)))
