@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchbook.llm import chat, decontaminate, langid, mixing, neardup, quality, substrings, tokens, urlfilter, wrappers
+from matchbook.llm import chat, decontaminate, langid, lines, mixing, neardup, quality, substrings, tokens, urlfilter, wrappers
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +77,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @register("op10_chat_formatting", chat.ORACLE)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(table(spark, sf, "conversations"))
+
+
+@register("op12_line_dedup", lines.ORACLE)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
