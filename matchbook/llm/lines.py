@@ -84,7 +84,7 @@ def _drop(names: list[str], min_chars: int):
                 kept = lines
                 if a:
                     gone = {x.tobytes() for x in np.stack([np.array(a, "<i8"), np.array(b, "<i8")], axis=1)}
-                    kept = [x for x, key in zip(lines, keys_of(text, min_chars)) if key not in gone]
+                    kept = [x for x, key in zip(lines, keys_of(text or b"", min_chars)) if key not in gone]
                 n_dropped.append(len(lines) - len(kept))
                 texts.append(text if text is None else b"\n".join(kept))
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
