@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm import chat, decontaminate, langid, lines, mixing, neardup, quality, substrings, tokens, urlfilter, wrappers
+from matchbook.llm import chat, decontaminate, langid, lines, mixing, neardup, quality, substrings, tokens, urlfilter, whitening, wrappers
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    whole = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return whitening.by_component(whole.drop("embedding"))
