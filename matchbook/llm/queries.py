@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm import chat, decontaminate, langid, lines, mixing, neardup, quality, substrings, tokens, urlfilter, whitening, wrappers
+from matchbook.llm import chat, decontaminate, langid, lines, mixing, neardup, phrases, quality, substrings, tokens, urlfilter, whitening, wrappers
 from matchbook.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(table(spark, sf, "conversations"))
 
 
+@register("op11_phrase_collocations", phrases.ORACLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
 @register("op12_line_dedup", lines.ORACLE)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
