@@ -602,3 +602,5 @@ register("pair_tfidf", f"{_TFIDF} SELECT * FROM cos")(_pair_tfidf)
 register("tfidf_rerank", f"""{_TFIDF}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY tfidf_cosine DESC, cand_id) AS rank FROM cos) WHERE rank <= 10""")(
     lambda spark, sf: rt.rerank_tfidf(_pair_tfidf(spark, sf)))
+
+from matchbook.plans import catalog_retrieval  # noqa: E402,F401
