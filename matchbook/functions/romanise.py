@@ -73,33 +73,21 @@ def _abugidas() -> tuple[dict[str, str], dict[str, str], str, dict[str, str]]:
 
 ALPHABETS = _alphabets()
 CONSONANTS, VOWEL_SIGNS, VIRAMAS, OTHERS = _abugidas()
-
-
-def _spelled(c: Column, table: dict[str, str], before: str = "") -> Column:
-    """Replace the letters of ``table``: single ones in one pass, others by a pass for each spelling."""
-    by: dict[str, str] = {}
-    for letter, spelling in table.items():
-        by[spelling] = by.get(spelling, "") + letter
-    if not before:
-        single = [(s, x) for s, letters in by.items() if len(s) == 1 for x in letters]
-        c = F.translate(c, "".join(x for _, x in single), "".join(s for s, _ in single))
-    for spelling, letters in by.items():
-        if before or len(spelling) != 1:
-            c = F.regexp_replace(c, f"[{letters}]", before + spelling)
-    return c
-
-
-def _indic(c: Column) -> Column:
-    t = _spelled(c, CONSONANTS)
-    t = _spelled(t, VOWEL_SIGNS, _NO_VOWEL)
-    t = F.regexp_replace(_spelled(t, OTHERS), f"[{VIRAMAS}]", _NO_VOWEL)
-    return F.regexp_replace(t, f"a{_NO_VOWEL}|{_NO_VOWEL}", "")
+SPELLINGS = ALPHABETS | CONSONANTS | {k: _NO_VOWEL + v for k, v in VOWEL_SIGNS.items()} | dict.fromkeys(VIRAMAS, _NO_VOWEL) | OTHERS
+_ONE = {k: v for k, v in SPELLINGS.items() if len(v) == 1}
+_MORE = {k: v for k, v in SPELLINGS.items() if len(v) != 1}
 
 
 def romanise(c: Column) -> Column:
-    """Latin spelling of the scripts above; everything else stays as it is. Composed and decomposed accents alike."""
-    t = F.when(c.rlike(r"[\x{900}-\x{D7F}]"), _indic(c)).otherwise(c)
-    return F.when(c.rlike(f"[{RANGES}]"), _spelled(t, ALPHABETS)).otherwise(c)
+    """Latin spelling of the scripts above; everything else stays as it is.
+
+    Letters that become one letter are translated in one pass, the others are
+    looked up one by one: few nodes, so that the expression still compiles with what is around it.
+    """
+    table = F.create_map(*[F.lit(x) for pair in _MORE.items() for x in pair])
+    t = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
+    t = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(c.rlike(f"[{RANGES}]"), F.regexp_replace(t, f"a{_NO_VOWEL}|{_NO_VOWEL}", "")).otherwise(c)
 
 
 def unmapped_letters(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import ADDR_ABBREV, LEGAL_SUFFIXES, NAME_ABBREV, NAME_STOPWORDS
+from .romanise import romanise
 
 # ---------------------------------------------------------------------------
 # ASCII folding
@@ -53,8 +54,8 @@ NON_ASCII = r"[^\x00-\x7F]"
 
 
 def ascii_fold(c: Column) -> Column:
-    """Fold text to ASCII (T01). ASCII rows skip the work entirely."""
-    t = F.translate(c, FOLD_SRC, FOLD_DST)
+    """Fold text to ASCII (T01): other scripts are romanised first. ASCII rows skip the work entirely."""
+    t = F.translate(romanise(c), FOLD_SRC, FOLD_DST)
     for a, b in FOLD_MULTI:
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, NON_ASCII_SEP, " ")

@@ -603,4 +603,4 @@ register("tfidf_rerank", f"""{_TFIDF}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY tfidf_cosine DESC, cand_id) AS rank FROM cos) WHERE rank <= 10""")(
     lambda spark, sf: rt.rerank_tfidf(_pair_tfidf(spark, sf)))
 
-from matchbook.plans import catalog_files, catalog_retrieval  # noqa: E402,F401
+from matchbook.plans import catalog_files, catalog_retrieval, catalog_scripts  # noqa: E402,F401

@@ -12,12 +12,14 @@ import hashlib
 import os
 import threading
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from matchbook.session import ensure_checkpoint_dir
 
-STAGE_VERSION = "1"
+#: what the content of a stage follows from, besides the input
+_RULES = ("functions/text.py", "functions/romanise.py", "functions/constants.py", "operators/normalize.py", "sources/records.py")
 _LOCK = threading.Lock()
 
 
@@ -27,14 +29,26 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def rules_digest(root: Path = Path(__file__).resolve().parent.parent) -> str:
+    """Changes with every change of the code that makes the stages, so that no stage of older rules is read."""
+    digest = hashlib.sha1()
+    for name in _RULES:
+        digest.update((root / name).read_bytes())
+    return digest.hexdigest()
+
+
 def _signature(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
-    """Input folder + table names + sizes and modification times."""
+    """Rules, input folder, and name, size and time of every file of the tables."""
     # MATCHBOOK_STAGE_TAG forces fresh stages (bench.py sets it per run)
-    parts = [STAGE_VERSION, os.environ.get("MATCHBOOK_STAGE_TAG", ""), sf_dir.rstrip("/")]
+    parts = [rules_digest(), os.environ.get("MATCHBOOK_STAGE_TAG", ""), sf_dir.rstrip("/")]
     for t in tables:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
-        st = fs.getFileStatus(p)
-        parts.append(f"{t}:{st.getLen()}:{st.getModificationTime()}")
+        files = fs.listFiles(p, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+        parts += sorted(found)
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
