@@ -1,12 +1,9 @@
-"""Pair similarity functions as column expressions; Jaro-Winkler as an
-Arrow-batched pandas UDF (the one similarity Spark has no built-in for)."""
+"""Pair similarity functions as column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from matchbook.functions.text import tokens
 
@@ -60,47 +57,42 @@ def address_components(raw: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-def _jaro(s1: str, s2: str) -> float:
-    n1, n2 = len(s1), len(s2)
-    if n1 == 0 or n2 == 0:
-        return 0.0
-    window = max(max(n1, n2) // 2 - 1, 0)
-    m1, m2 = [False] * n1, [False] * n2
-    matches = 0
-    for i, ch in enumerate(s1):
-        lo, hi = max(0, i - window), min(n2, i + window + 1)
-        for j in range(lo, hi):
-            if not m2[j] and s2[j] == ch:
-                m1[i] = m2[j] = True
-                matches += 1
-                break
-    if matches == 0:
-        return 0.0
-    t, k = 0, 0
-    for i in range(n1):
-        if m1[i]:
-            while not m2[k]:
-                k += 1
-            if s1[i] != s2[k]:
-                t += 1
-            k += 1
-    # half-transpositions are halved with integer division
-    return (matches / n1 + matches / n2 + (matches - t // 2) / matches) / 3.0
-
-
-def jaro_winkler_py(s1: str, s2: str, p: float = 0.1, boost_above: float = 0.7) -> float:
-    j = _jaro(s1, s2)
-    if j <= boost_above:
-        return j
-    ell = 0
-    for a, b in zip(s1[:4], s2[:4]):
-        if a != b:
-            break
-        ell += 1
-    return j + ell * p * (1 - j)
-
-
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity (prefix weight 0.1, ≤4 chars, boost above 0.7)."""
-    return pd.Series([round(jaro_winkler_py(x or "", y or ""), 6) for x, y in zip(a, b)])
+_TAKEN = "\x01"  # stands for a matched character
+
+
+def jaro_winkler(a: Column, b: Column, weight: float = 0.1, boost_above: float = 0.7) -> Column:
+    """Jaro-Winkler similarity (prefix weight 0.1, at most 4 characters, boost above 0.7), six places.
+
+    One fold over the characters of ``a``: each takes the first equal character of ``b`` that is
+    near enough and not taken yet. Half the transpositions are counted with integer division.
+    """
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    n1, n2 = F.length(a), F.length(b)
+    near = F.greatest(F.floor(F.greatest(n1, n2) / 2).cast("int") - 1, F.lit(0))
+    one = F.lit(1)
+
+    def take(s: Column, i: Column) -> Column:
+        low = F.greatest(i - near, one)
+        part = s["rest"].substr(low, F.greatest(F.least(n2, i + near) - low + 1, F.lit(0)))
+        at = F.call_function("instr", part, a.substr(i, one))
+        return F.when(at > 0, F.struct(F.overlay(s["rest"], F.lit(_TAKEN), low + at - 1, one).alias("rest"),
+                                       F.concat(s["found"], a.substr(i, one)).alias("found"))).otherwise(s)
+
+    def jaro(s: Column) -> Column:
+        m = F.length(s["found"])
+        other = F.array_join(F.filter(F.split(b, ""), lambda _, i: s["rest"].substr(i + 1, one) == _TAKEN), "")
+        swapped = F.size(F.filter(F.sequence(one, m), lambda i: s["found"].substr(i, one) != other.substr(i, one)))
+        return F.when(m > 0, (m / n1 + m / n2 + (m - F.floor(swapped / 2)) / m) / 3).otherwise(F.lit(0.0))
+
+    alike = F.lit(0)
+    for k in range(1, 5):  # the common prefix
+        alike = F.when((F.least(n1, n2) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), F.lit(k)).otherwise(alike)
+    start = F.struct(b.alias("rest"), F.lit("").alias("found"))
+    j = F.when((n1 > 0) & (n2 > 0), F.aggregate(F.sequence(one, F.greatest(n1, one)), start, take, jaro)).otherwise(F.lit(0.0))
+    boosted = F.transform(F.array(j), lambda x: F.when(x > boost_above, x + alike * weight * (1 - x)).otherwise(x))
+    return F.round(boosted[0], 6)
+
+
+def soundex_first(s: Column) -> Column:
+    """Soundex of the first token, null without one."""
+    return F.soundex(F.try_element_at(tokens(F.coalesce(s, F.lit(""))), F.lit(1)))

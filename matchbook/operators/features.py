@@ -1,7 +1,7 @@
 """Pair features over candidate pairs (specified matching stage, M08–M21).
 
 Attributes are attached to both sides with two equi-joins on id (J08); every
-feature is a column expression except Jaro-Winkler (Arrow-batched UDF).
+feature is a column expression.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from matchbook.functions import similarity as sim
 from matchbook.functions import text as tx
 
 NAME_FEATURES = ["name_char3_jaccard", "name_token_jaccard", "name_lev_ratio",
-                 "token_sort_ratio", "prefix_tokens"]
+                 "token_sort_ratio", "prefix_tokens", "name_phonetic_match"]
 ADDR_FEATURES = ["zip_match", "street_no_match", "addr_token_jaccard", "addr_lev_ratio",
                  "addr_component_overlap"]
 META_FEATURES = ["country_match", "name_len_ratio", "both_address"]
@@ -35,6 +35,7 @@ def name_features(p: DataFrame) -> DataFrame:
         "name_lev_ratio": sim.lev_ratio(na, nb),
         "token_sort_ratio": sim.lev_ratio(sim.token_sort(na), sim.token_sort(nb)),
         "prefix_tokens": sim.common_prefix_tokens(na, nb),
+        "name_phonetic_match": (sim.soundex_first(na) == sim.soundex_first(nb)).cast("int"),
     })
 
 

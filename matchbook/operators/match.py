@@ -105,7 +105,7 @@ def entity_fold(s1_id_col, k: int = 5):
 
 FEATURE_COLS = ["name_char3_jaccard", "name_token_jaccard", "name_lev_ratio", "token_sort_ratio",
                 "prefix_tokens", "addr_token_jaccard", "addr_lev_ratio", "country_match",
-                "name_len_ratio", "both_address", "zip_match", "street_no_match"]
+                "name_len_ratio", "both_address", "zip_match", "street_no_match", "name_phonetic_match"]
 
 
 def gbt_scores(train: DataFrame, score_on: DataFrame, seed: int = 7, max_iter: int = 20) -> DataFrame:
@@ -126,3 +126,25 @@ def gbt_scores(train: DataFrame, score_on: DataFrame, seed: int = 7, max_iter: i
     out = model.transform(asm.transform(prep(score_on)))
     return out.select("s1_id", "cand_id",
                       F.round(vector_to_array("probability")[1], 6).alias("probability"))
+
+
+def out_of_fold_scores(train: DataFrame, pairs: DataFrame, k: int = 5, **options) -> DataFrame:
+    """Every pair scored by the model that saw no pair of its S1 record: ``k`` models, one a fold of entities."""
+    out = None
+    for f in range(k):
+        own = entity_fold(F.col("s1_id"), k) == f
+        part = gbt_scores(train.where(~own), pairs.where(own), **options)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def f05_out_of_fold(s1: DataFrame, truth: DataFrame, scored: DataFrame, k: int = 5) -> DataFrame:
+    """Macro F0.5 over all S1 where the threshold of each fold is tuned on the other folds."""
+    matches = None
+    for f in range(k):
+        own = lambda c: entity_fold(F.col(c), k) == f  # noqa: B023, E731
+        tuned = tune_threshold(s1.where(~own("entity_id")), truth.where(~own("s1_id")), scored.where(~own("s1_id")))
+        best = best_threshold(tuned).head().threshold
+        part = threshold_matches(scored.where(own("s1_id")), 1.0 if best is None else best)
+        matches = part if matches is None else matches.unionByName(part)
+    return f05_macro(f05_per_entity(s1, truth, matches))

@@ -18,6 +18,7 @@ from matchbook.operators import evaluate as ev
 from matchbook.operators.keys import explode_keys, key_stats
 from matchbook.operators.normalize import normalize_records, normalize_stats
 from matchbook.plans import oracle as O
+from matchbook.session import written
 from matchbook.sources import records as rs
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -542,15 +543,32 @@ def _score_pairs(spark, sf):
 
 register("score_pairs")(_score_pairs)
 
+
+def _f05_out_of_fold(spark, sf):
+    """GBT and fixed score side by side, both with thresholds tuned on the other folds (R)."""
+    pf_ = written(_pf(spark, sf)[0], "pair-features")
+    s1, t = split_norm(spark, sf)[0], truth(spark, sf)
+    train = mt.training_pairs(pf_.select(*_K), t).join(pf_, _K)
+    gbt = mt.out_of_fold_scores(train, pf_, max_iter=10).withColumnRenamed("probability", "score")
+    both = {"gbt_out_of_fold": written(gbt, "pair-scores"), "fixed_score": fe.fixed_score(pf_)}
+    rows = [mt.f05_out_of_fold(s1, t, scored).select(F.lit(name).alias("method"), "*") for name, scored in both.items()]
+    return rows[0].unionByName(rows[1])
+
+
+register("f05_out_of_fold")(_f05_out_of_fold)
+
 # ---------------------------------------------------------------------------
 # Retrieval keys (M01, M02) and rerankers of the blocking pairs
 # ---------------------------------------------------------------------------
 
 from matchbook.operators import retrieve as rt  # noqa: E402
 
-register("keys_phonetic")(lambda spark, sf: rt.keys_phonetic(norm(spark, sf)))
-
 _NTT = O.split_tokens("norm_name")
+register("keys_phonetic", f"""{O.norm_cte()},
+first AS (SELECT entity_id, coalesce({O.strip_ws('lower(country)')}, '') AS cty, {_NTT}[1] AS t FROM norm)
+SELECT entity_id, 'phon' AS tag, cty || '|' || ({O.soundex('t')}) AS key FROM first WHERE t IS NOT NULL""")(
+    lambda spark, sf: rt.keys_phonetic(norm(spark, sf)))
+
 register("keys_tfidf_top3", f"""{O.norm_cte()},
 terms AS (SELECT entity_id, coalesce({O.strip_ws('lower(country)')}, '') AS cty, term, count(*) AS tf
           FROM (SELECT entity_id, country, unnest({_NTT}) AS term FROM norm) GROUP BY ALL),

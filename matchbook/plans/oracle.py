@@ -233,6 +233,16 @@ def _comps(s: str) -> str:
             f"lambda x: x <> ''))")
 
 
+def soundex(x: str) -> str:
+    """American Soundex of a token: H and W are passed over, vowels and other characters part equal codes."""
+    codes = f"translate(regexp_replace(upper({x}), '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    runs = f"substr({codes}, 1, 1) || replace(substr({codes}, 2), '7', '')"
+    for d in "123456":
+        runs = f"regexp_replace({runs}, '{d}+', '{d}', 'g')"
+    code = f"rpad(substr(replace(substr({runs}, 2), '0', ''), 1, 3), 3, '0')"
+    return f"CASE WHEN regexp_matches({x}, '^[A-Za-z]') THEN upper(substr({x}, 1, 1)) || {code} ELSE {x} END"
+
+
 def pair_features_cte(cap: int = 300) -> str:
     """``blk`` pairs with both sides' attributes and all features as ``pf``."""
     ta, tb = split_tokens("na"), split_tokens("nb")
@@ -250,6 +260,7 @@ pf AS (
     {_lev('na', 'nb')} AS name_lev_ratio,
     {_lev(_tsort('na'), _tsort('nb'))} AS token_sort_ratio,
     {prefix} AS prefix_tokens,
+    CAST(({soundex(f'({ta})[1]')}) = ({soundex(f'({tb})[1]')}) AS INTEGER) AS name_phonetic_match,
     CASE WHEN za <> '' AND zb <> '' THEN CAST(za = zb AS INTEGER) END AS zip_match,
     CASE WHEN {_firstnum('aa')} IS NOT NULL AND {_firstnum('ab')} IS NOT NULL
          THEN CAST({_firstnum('aa')} = {_firstnum('ab')} AS INTEGER) END AS street_no_match,
