@@ -18,7 +18,7 @@ _CTY = f"coalesce({O.strip_ws('lower(country)')}, '')"
 # BM25 over all targets of the country
 # ---------------------------------------------------------------------------
 
-register("bm25_topk", f"""{O.norm_cte()},
+register("bm25_retrieval", f"""{O.norm_cte()},
 docs AS (SELECT entity_id, cty, term, dl, count(*) AS tf FROM (
            SELECT entity_id, {_CTY} AS cty, len({_NT}) AS dl, unnest({_NT}) AS term FROM norm WHERE src <> 1) GROUP BY ALL),
 stats AS (SELECT cty, count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT DISTINCT entity_id, cty, dl FROM docs) GROUP BY cty),

@@ -13,7 +13,7 @@ from matchbook.plans.catalog import ORACLE, QUERIES
 NORM = "entity_id string, country string, norm_name string"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "gram_topk", "embedding_topk", "minhash_signatures", "block_minhash", "blocking_recall_minhash"])
+@pytest.mark.parametrize("name", ["bm25_retrieval", "gram_topk", "embedding_topk", "minhash_signatures", "block_minhash", "blocking_recall_minhash"])
 def test_query_matches_oracle(spark, duck0001, name):
     problems, n = compare(QUERIES[name](spark, SF0001), duck0001, ORACLE[name])
     assert not problems and n
