@@ -16,6 +16,10 @@ words of a passage ends within 10 + 19 + 10 of them, and from word 41 of 51 back
 all cuts are common: a repeated passage of more than 50 words always has a
 common span. In scripts without spaces each character counts as a word.
 
+Tasks cut chunks of texts with array operations; a span's hash comes from the
+hashes of its words by differences of running sums. Cuts and hashes of a text
+do not depend on its neighbours in the chunk.
+
 Scale: two exchanges of some 35 bytes a sentence. The first is aggregated
 within map tasks, the second is a plain join with the written table of spans
 that occur twice or more, which AQE splits where one span is very frequent. No
@@ -26,8 +30,8 @@ collected by document, which its own length bounds.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +41,23 @@ from pyspark.sql import types as T
 
 from matchbook.llm.common import map_arrow, without, written
 from matchbook.llm.decontaminate import words_of
+from matchbook.llm.hashing import mix
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONG = RUN = 10  # three of them and 19 words fit in 51
-KNOWN_WORDS = 500_000  # hashes kept in a worker
-ROWS = 50_000  # spans in an Arrow batch
+CHUNK_CHARS = 1 << 17  # texts cut at once; a longer text is a chunk of its own
 ADDED = ("n_sentences", "n_removed")
 
-_END = re.compile("[.!?…。！？]+[\"'”’»)\\]]*\\s+|\\s*\n\\s*|[。！？]+")
-_PAUSE = re.compile(r"[,;:]\s+")
+_MARKS, _FULL_MARKS, _CLOSERS, _PAUSES = ".!?…", "。！？", "\"'”’»)]", ",;:"
 # Thai, Lao, Myanmar, Khmer, kana, Han
 _SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _APART = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
-_NO_WORD = rf"(?:[^0-9A-Za-z\x80-\U0010ffff\s]|(?!\s)[{_APART}])*"
-_UNIT = re.compile(rf"([{_SPACELESS}]|(?:(?![{_SPACELESS}{_APART}])[0-9A-Za-z\x80-\U0010ffff])+){_NO_WORD}\s*")
-_PLAIN_UNIT = re.compile(r"([0-9A-Za-z\x80-\u0dff]+)[^0-9A-Za-z\x80-\u0dff\s]*\s*")
 _OTHER = re.compile(f"[{_SPACELESS}{_APART}\u0e00-\U0010ffff]")
 _SPACED = re.compile(f"([{_SPACELESS}])|[{_APART}]")
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
-        return value
-
-
-_HASHES = _Hashes()
+_SPACE, _LINE, _MARK, _FULL_MARK, _CLOSER, _PAUSE = range(1, 7)  # kinds of characters
+_LETTER, _ALONE = 1, 2  # parts of words, words by themselves
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
 
 
 def _words(piece: str) -> list[bytes]:
@@ -74,30 +66,166 @@ def _words(piece: str) -> list[bytes]:
     return words_of(piece.encode("utf-8", "surrogatepass"))
 
 
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each code point, and its part in words; marks beyond ASCII may be both."""
+    part = np.full(0x110000, _LETTER, np.uint8)
+    part[:0x80] = 0
+    for a, b in ("09", "AZ", "az"):
+        part[ord(a):ord(b) + 1] = _LETTER
+    for ranges, value in ((_APART, 0), (_SPACELESS, _ALONE)):
+        for a, b in re.findall("(.)(?:-(.))?", ranges):
+            part[ord(a):ord(b or a) + 1] = value
+    kind = np.zeros(0x110000, np.uint8)
+    kind[[c for c in range(0x3001) if chr(c).isspace()]] = _SPACE
+    for chars, value in (("\n", _LINE), (_MARKS, _MARK), (_FULL_MARKS, _FULL_MARK), (_CLOSERS, _CLOSER), (_PAUSES, _PAUSE)):
+        kind[[ord(c) for c in chars]] = value
+    return kind, part
+
+
+@lru_cache(8)
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        values = np.full(size, factor, np.uint64)
+        values[0] = 1
+        out.append(np.cumprod(values, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of values[begin:end], the same wherever a run stands."""
+    powers, inverse = _powers(base, 1 << max(10, int(len(values)).bit_length()))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[:len(values)], dtype=np.uint64, out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def _next_after(sorted_places: np.ndarray, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The first of the places beyond ``at``, ``limit`` at most."""
+    if not len(sorted_places):
+        return limit
+    i = np.searchsorted(sorted_places, at, "right")
+    return np.where(i < len(sorted_places), np.minimum(sorted_places[np.minimum(i, len(sorted_places) - 1)], limit), limit)
+
+
+class Cut:
+    """Pieces and spans of a chunk of texts, as offsets into the joined texts.
+
+    ``bounds`` are the begins of the pieces and the ends of the texts; those of
+    text i are bounds[first[i]:first[i + 1]].
+    """
+
+    def __init__(self, texts: list[str]):
+        joined = "\0".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(sizes + 1) - sizes - 1  # of the texts
+        self.end = self.begin + sizes
+        kind, part = (np.append(table[points], np.uint8(0)) for table in _tables())
+        self._find_words(points, part)
+        cuts = self._sentence_ends(kind)
+        cuts = np.union1d(cuts, self._inner_cuts(kind, cuts))
+        self.bounds = cuts
+        self.first = np.append(np.searchsorted(cuts, self.begin), len(cuts))
+
+    def _find_words(self, points: np.ndarray, part: np.ndarray) -> None:
+        letter, alone = part == _LETTER, part == _ALONE
+        edge = np.diff(np.concatenate([[False], letter]).view(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if alone.any():
+            single = np.flatnonzero(alone)
+            starts, ends = np.sort(np.concatenate([starts, single])), np.sort(np.concatenate([ends, single + 1]))
+        self.starts, self.ends = starts, ends
+        upper = (points >= 65) & (points <= 90)
+        self.words = _run_hashes((points + (upper * np.uint32(32)) + np.uint32(1)).astype(np.uint64), starts, ends, _BASES[0])
+        self.text_of = np.searchsorted(self.begin, starts, "right") - 1
+
+    def _sentence_ends(self, kind: np.ndarray) -> np.ndarray:
+        """Begins and ends of the texts, and the places behind the white space or the mark after a sentence."""
+        space = (kind == _SPACE) | (kind == _LINE)
+        edge = np.diff(np.concatenate([[False], space]).view(np.int8))
+        run_starts, run_ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.space_ends = run_ends
+        lines = np.flatnonzero(kind == _LINE)
+        has_line = np.searchsorted(lines, run_ends) > np.searchsorted(lines, run_starts)
+        before = np.maximum.accumulate(np.where(kind != _CLOSER, np.arange(len(kind)), -1))
+        at = before[np.maximum(run_starts - 1, 0)]
+        marked = (run_starts > 0) & (at >= 0) & np.isin(kind[np.maximum(at, 0)], (_MARK, _FULL_MARK))
+        full = kind == _FULL_MARK
+        full_ends = np.flatnonzero(full[:-1] & ~full[1:] & ~space[1:]) + 1
+        return np.unique(np.concatenate([self.begin, self.end, run_ends[has_line | marked], full_ends]))
+
+    def _inner_cuts(self, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Cuts within long sentences: after pauses and by winnowing."""
+        none = np.zeros(0, np.int64)
+        n = len(self.words)
+        if n <= LONG:
+            return none
+        of = np.searchsorted(ends, self.ends - 1, "right")  # the sentence of a word
+        long = np.bincount(of, minlength=len(ends) + 1) > LONG
+        if not long.any():
+            return none
+        place = np.arange(n)
+        least = (self.words & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - place.astype(np.uint64))
+        width = 1
+        while width < RUN:  # smallest of runs of 2, 4, 8, 10 words
+            step = min(width, RUN - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        whole = self.text_of[:n - RUN + 1] == self.text_of[RUN - 1:]
+        chosen = np.unique(np.uint64(0xFFFFFFFF) - (least[whole] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+        chosen = chosen[long[of[chosen]]]
+        following = np.append(self.starts, self.end[-1])[chosen + 1]
+        limit = np.minimum(following, self.end[self.text_of[chosen]])
+        pause = np.flatnonzero((kind[:-1] == _PAUSE) & ((kind[1:] == _SPACE) | (kind[1:] == _LINE)))
+        pause = pause[long[np.searchsorted(ends, pause, "right")]]
+        return np.concatenate([_next_after(self.space_ends, self.ends[chosen], limit),
+                               _next_after(self.space_ends, pause + 1, np.full(len(pause), len(kind)))])
+
+    def spans(self) -> tuple[np.ndarray, ...]:
+        """(text, first piece in the text, end piece, two hashes) of the span from each piece with words."""
+        piece_of = np.searchsorted(self.bounds, self.ends - 1, "right") - 1
+        at = np.flatnonzero(np.diff(piece_of, prepend=-1))  # first words of pieces
+        border = np.append(at, len(piece_of))
+        i = np.arange(len(at))
+        j = np.maximum(i + MIN_SENTENCES, np.searchsorted(border, at + MIN_WORDS))
+        i = i[j < len(border)]
+        j = j[:len(i)]
+        fits = self.text_of[at[i]] == self.text_of[at[j - 1]]
+        i, j = i[fits], j[fits]
+        a, b = at[i], border[j]
+        text = self.text_of[a]
+        return (text, piece_of[a] - self.first[text], piece_of[at[j - 1]] + 1 - self.first[text],
+                _run_hashes(self.words, a, b, _BASES[1]), _run_hashes(self.words, a, b, _BASES[2]))
+
+    def pieces(self, i: int) -> np.ndarray:
+        """Bounds of the pieces of text i, from 0 to its length; one bound if it is empty."""
+        return self.bounds[self.first[i]:self.first[i + 1]] - self.begin[i]
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK_CHARS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def sentences(text: str) -> list[str]:
     """Pieces whose concatenation is the text."""
-    ends = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    units, last, values = [], [], []
-    for m in (_UNIT if _OTHER.search(text) else _PLAIN_UNIT).finditer(text):
-        units.append(m.end())
-        last.append(m.end(1) - 1)
-        values.append(_HASHES[m[1]])
-    cuts = set(ends)
-    if len(units) > LONG:
-        at = np.array(units)
-        of = np.searchsorted(ends, last, "right")  # the sentence of a word
-        long = np.bincount(of, minlength=len(ends) + 1) > LONG
-        runs = np.lib.stride_tricks.sliding_window_view(np.array(values, np.uint32)[::-1], RUN)
-        least = len(units) - 1 - np.unique(runs.argmin(axis=1) + np.arange(len(runs)))
-        cuts.update(at[least[long[of[least]]]].tolist())
-        pauses = np.array([m.end() for m in _PAUSE.finditer(text)], int)
-        cuts.update(pauses[long[np.searchsorted(ends, pauses - 1, "right")]].tolist())
-    places = sorted(cuts)
+    places = Cut([text]).pieces(0).tolist()
     return [text[a:b] for a, b in zip(places, places[1:])]
 
 
 def spans(pieces: list[str]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, end, words) of the span from each sentence; wordless pieces don't count."""
+    """(first sentence, end, words) of the span from each sentence; wordless pieces don't count.
+
+    What a span is; ``Cut.spans`` finds those of many texts at once.
+    """
     words = [_words(p) for p in pieces]
     at = [i for i, w in enumerate(words) if w]
     out, j, total = [], 0, 0
@@ -114,27 +242,14 @@ def spans(pieces: list[str]) -> list[tuple[int, int, bytes]]:
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a span: 128 bits of hash, doc_id, and text hash with place in one number."""
-    from xxhash import xxh3_128_digest
-
-    hashes, doc_ids, places = [], [], []
-
-    def flush() -> pa.RecordBatch:
-        both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])),
-             pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64())], ["ha", "hb", "doc", "place"])
-
     for batch in batches:
-        for doc, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "digest", "text"))):
-            for first, _, words in spans(sentences(text or "")):
-                hashes.append(xxh3_128_digest(words))
-                doc_ids.append(doc)
-                places.append(digest + first)
-            if len(hashes) >= ROWS:
-                yield flush()
-                hashes, doc_ids, places = [], [], []
-    if hashes:
-        yield flush()
+        docs, digests = batch.column("doc"), batch.column("digest").to_numpy()
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for a, b in _chunks(texts):
+            text, first, _, high, low = Cut(texts[a:b]).spans()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), docs.take(pa.array(text + a)),
+                 pa.array(digests[text + a] + first)], ["ha", "hb", "doc", "place"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -159,24 +274,42 @@ def repeated_places(docs: DataFrame) -> DataFrame:
             .agg(F.collect_set(F.col("place").bitwiseAND(low).cast("int")).alias("starts")))
 
 
+def _without(text: str, places: np.ndarray, starts: list[int] | None, ends: dict[int, int]) -> tuple[str, int, int]:
+    n = max(len(places) - 1, 0)
+    if not starts:
+        return text, n, 0
+    gone = np.zeros(n + 1, bool)
+    for s in starts:
+        gone[s:ends[s]] = True
+    at = places.tolist()
+    return "".join(text[at[i]:at[i + 1]] for i in np.flatnonzero(~gone[:n])), n, int(gone.sum())
+
+
+def _removed(texts: list[str], starts: list[list[int] | None]) -> Iterator[tuple[str, int, int]]:
+    for a, b in _chunks(texts):
+        cut = Cut(texts[a:b])
+        ends: list[dict[int, int]] = [{} for _ in range(a, b)]
+        if any(starts[a:b]):
+            for i, first, end in zip(*(x.tolist() for x in cut.spans()[:3])):
+                if starts[a + i]:
+                    ends[i][first] = end
+        for i in range(b - a):
+            yield _without(texts[a + i], cut.pieces(i), starts[a + i], ends[i])
+
+
 def remove_places(text: str, starts: list[int]) -> tuple[str, int, int]:
     """Text without the spans that begin at ``starts``; sentences before, sentences removed."""
-    pieces = sentences(text)
-    gone = np.zeros(len(pieces), bool)
-    if starts:
-        ends = {a: b for a, b, _ in spans(pieces)}
-        for s in starts:
-            gone[s:ends[s]] = True
-    return "".join(p for p, g in zip(pieces, gone) if not g), len(pieces), int(gone.sum())
+    return next(_removed([text], [starts]))
 
 
 def _remove(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(None, 0, 0) if t is None else remove_places(t, s or [])
-                    for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
-            texts, counts, gone = zip(*rows) if rows else ((), (), ())
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            texts = batch.column("text").to_pylist()
+            rows = list(_removed([t or "" for t in texts], batch.column("starts").to_pylist()))
+            rows = [(None, 0, 0) if t is None else r for t, r in zip(texts, rows)]
+            kept, counts, gone = zip(*rows) if rows else ((), (), ())
+            columns = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())],
                                              names=[*names, *ADDED])
     return run

@@ -42,3 +42,24 @@ def test_pieces_make_up_the_text(text):
     pieces = substrings.sentences(text)
     assert "".join(pieces) == text and all(pieces)
     assert all(len(substrings._words(p)) <= substrings.RUN for p in pieces)
+
+
+def test_chunks_of_texts_agree_with_single_texts():
+    rng = random.Random(7)
+    texts = ["", "a", "x\0y. " * 30, "。” a " * 30, "\ud800 b " * 30, "東京、大阪。" * 9]
+    texts += ["".join(rng.choices("abé .,\n!?。東”\"'(-\t\x85　", k=rng.randint(0, 400))) for _ in range(200)]
+    texts += [" ".join(_cases(kind, 1)[1]) for kind in ("bare", "marks", "han")]
+    cut = substrings.Cut(texts)
+    found = {}
+    for text, first, end, *hashes in zip(*(x.tolist() for x in cut.spans())):
+        found.setdefault(text, []).append((first, end, tuple(hashes)))
+    hash_of = {}
+    for i, text in enumerate(texts):
+        pieces = substrings.sentences(text)
+        at = cut.pieces(i).tolist()
+        assert [text[a:b] for a, b in zip(at, at[1:])] == pieces
+        wanted = substrings.spans(pieces)
+        assert [(a, b) for a, b, _ in wanted] == [(a, b) for a, b, _ in found.get(i, [])]
+        for (_, _, words), (_, _, both) in zip(wanted, found.get(i, [])):
+            assert hash_of.setdefault(words, both) == both
+    assert len(set(hash_of.values())) == len(hash_of) > 100
