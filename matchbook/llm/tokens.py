@@ -16,9 +16,9 @@ partition.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,49 +30,86 @@ from matchbook.llm.wavelet import WaveletMatrix
 
 SHARD_IDS = 1 << 20
 CHUNK_CHARS = 1 << 21
-CACHED_PIECES = 1_000_000  # of one dictionary; some 150 MB in a worker at most
+CACHED_PIECES = 1_000_000  # of one dictionary and a chunk; some 150 MB in a worker
 END_ID = 2
-_LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_WORD_AND_MARK = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 SHARD_SCHEMA = """part int, shard int, part_start bigint, n_ids bigint, n_docs bigint, doc_ids array<bigint>,
   doc_lengths array<bigint>, alphabet binary, zeros array<bigint>, planes array<binary>, directory array<binary>"""
 DOCS_SCHEMA = "doc_id bigint, part int, shard int, local_start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def _byte_chars() -> dict[int, str]:
+def _byte_points() -> np.ndarray:
     """Byte-level alphabet: a byte that is no visible Latin-1 character is written as U+0100 and up."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+    points = np.arange(256, dtype="<u4")
+    visible = np.zeros(256, bool)
+    for first, end in ((0x21, 0x7F), (0xA1, 0xAD), (0xAE, 0x100)):
+        visible[first:end] = True
+    points[~visible] = 0x100 + np.arange((~visible).sum(), dtype="<u4")
+    return points
 
 
-class _Pieces(dict):
-    """Ids of pieces, as little-endian 32-bit bytes; a new piece is encoded on first sight."""
+_BYTE_POINTS = _byte_points()
+
+
+class _Pieces:
+    """Ids of the pieces of lines as little-endian 32-bit bytes; None for one with white space or empty.
+
+    New pieces are encoded together: Latin words, which are single pre-tokens,
+    by the library's BPE model, a word with a full stop or comma as that word
+    and its mark, others as lines of one text, in whose ids only the newline's
+    own stands for a newline. The dictionary has two halves: when the newer one
+    is full it becomes the older one, from which pieces in use come back.
+    """
 
     def __init__(self, encoder: PieceEncoder, lead: str):
-        super().__init__()
         self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if "\n" in piece:  # not kept: hardly any comes twice
-            lines = piece.split("\n")
-            first = self.encoder.first
-            return self.encoder.newline.join([self[lines[0]], *[first[x] for x in lines[1:]]])
-        if _LATIN_WORD.fullmatch(piece):
-            ids = self.encoder.word(self.lead + piece)
-        elif piece[-1:] in (".", ",") and _LATIN_WORD.fullmatch(piece, 0, len(piece) - 1):
-            return self[piece[:-1]] + self.encoder.mark[piece[-1]]
-        elif piece.split() == [piece]:
-            ids = self.encoder.whole(self.lead + piece)
-        else:
-            raise AdjacentSpace
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
-class AdjacentSpace(Exception):
-    """The text has white space other than single spaces and newlines between words."""
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) >= CACHED_PIECES // 2:
+            self.known, self.older = {}, self.known
+        words, marked, others = set(), [], []
+        for p in self._new(pieces):
+            if m := _WORD_AND_MARK.fullmatch(p):
+                words.add(m[1])
+                if m[2]:
+                    marked.append((p, m[1], m[2]))
+            elif p.split() == [p]:
+                others.append(p)
+            else:
+                self.known[p] = None
+        self.known.update(self._words(list(self._new(words))))
+        mark = self.encoder.mark
+        self.known.update((p, self.known[word] + mark[c]) for p, word, c in marked)
+        self.known.update(zip(others, self._lines([self.lead + p for p in others])))
+
+    def _new(self, pieces: set[str]) -> set[str]:
+        new = pieces.difference(self.known)
+        back = new.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in back)
+        return new - back
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        text = "\n".join(self.lead + w for w in words).encode()
+        spelt = _BYTE_POINTS[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le")
+        tokenize, flat, ends = self.encoder.model.tokenize, [], []
+        for word in spelt.split(chr(_BYTE_POINTS[10])) if words else ():
+            flat += [t.id for t in tokenize(word)]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, "<u4").tobytes()
+        return zip(words, (raw[a:b] for a, b in zip([0, *ends], ends)))
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        text = "\n".join(lines)
+        if not lines or self.encoder.added(text):
+            return [self.encoder.whole(x) for x in lines]
+        raw = self.encoder.whole(text)
+        ids = np.frombuffer(raw, "<u4")
+        ends = [*(4 * np.flatnonzero(ids == self.encoder.newline_id)).tolist(), len(raw)]
+        if len(ends) != len(lines):
+            return [self.encoder.whole(x) for x in lines]
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
 
 
 class PieceEncoder:
@@ -81,9 +118,9 @@ class PieceEncoder:
     Its pre-tokenizer always cuts before a single space and around a single
     newline, and between a Latin word and a full stop or comma at the end of a
     piece. So a text without other or adjacent white space is the
-    concatenation of its space-separated pieces, and each distinct piece is
-    encoded once; other texts are encoded whole, and so are texts with the
-    string of an added token, which the library cuts out before all else.
+    concatenation of the space-separated pieces of its lines, and each distinct
+    piece is encoded once; other texts are encoded whole, and so are texts with
+    the string of an added token, which the library cuts out before all else.
     """
 
     def __init__(self, path: str):
@@ -94,32 +131,34 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        self.model, self.alphabet = self.tokenizer.model, _byte_chars()
+        self.model = self.tokenizer.model
         self.newline = self.whole("\n")
         self.mark = {c: self.whole(c) for c in ".,"}
+        self.newline_id = int(np.frombuffer(self.newline, "<u4")[0])
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def word(self, text: str) -> bytes:
-        """A single pre-token: straight to the library's BPE model."""
-        chars = text.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(chars)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        split = [None if self.added(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        first, later = set(), set()
+        for lines in split:
+            for pieces in lines or ():
+                first.add(pieces[0])
+                later.update(islice(pieces, 1, None))
+        self.first.learn(first)
+        self.later.learn(later)
+        head, tail = self.first.known, self.later.known.__getitem__
         out = []
-        for text in texts:
-            if self.added(text):
-                out.append(self.whole(text))
-                continue
-            pieces = text.split(" ")
+        for text, lines in zip(texts, split):
             try:
-                out.append(self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])))
-            except AdjacentSpace:
-                out.append(self.whole(text))
+                ids = None if lines is None else self.newline.join(
+                    [b"".join([head[p[0]], *map(tail, islice(p, 1, None))]) for p in lines])
+            except TypeError:  # a piece without ids
+                ids = None
+            out.append(self.whole(text) if ids is None else ids)
         return out
 
 

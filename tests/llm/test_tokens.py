@@ -1,5 +1,6 @@
 """Strings of added tokens in texts, against the library as it comes."""
 
+import random
 import zlib
 
 import numpy as np
@@ -22,3 +23,18 @@ def test_added_tokens_in_texts(spark):
             start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert tok.encode(TEXTS[0], add_special_tokens=False).ids == [64, 50256, 65]
+
+
+def test_pieces_against_the_library(monkeypatch):
+    """Marks, other white space, line ends and a dictionary that is often full."""
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 40)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abXé .,\n'1-\t\r\x0b　東!?s\x85\x1c", k=rng.randint(0, 60))) for _ in range(400)]
+    texts += [sep.join("".join(rng.choices("abé'sT0.,-!東", k=rng.randint(1, 6))) for _ in range(20))
+              for sep in " \n" for _ in range(200)]
+    texts += [*TEXTS, "a <|endoftext|>\nb", " ", "\n", "a\n", "\na", "a\n\nb"]
+    tok = Tokenizer.from_file(tokens.default_tokenizer())
+    encoder = tokens.PieceEncoder(tokens.default_tokenizer())
+    for i in range(0, len(texts), 50):
+        for text, ids in zip(texts[i:i + 50], encoder.encode(texts[i:i + 50])):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
