@@ -106,15 +106,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     reading the partitions in turn gives a random order.
 
     A null source is a source like the others; a null text has size 0. Rows
-    that share a doc_id draw the same number, as do all rows with a null one.
+    that share a doc_id draw the same number, as do all rows with a null one;
+    rows with a null doc_id are ordered by their text, so that they spread.
     Documents whose number is 0 have no row. An empty table stays empty.
     """
     docs = without(docs, ADDED)
     counted = poisson_counts(docs, source_rates(docs, weights, epochs), seed)
     copies = (counted.where(F.col("n_copies") > 0)
               .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))))
+    by_text = F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(
-        "|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"))))
+        "|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), by_text), F.col("copy"))))
     return (keyed.withColumn("copy", F.col("copy").cast("long")).withColumn("n_copies", F.col("n_copies").cast("long"))
             .repartition("shuffle_key").sortWithinPartitions("shuffle_key"))
 
@@ -132,6 +134,6 @@ u AS (SELECT *, ('0x' || substr(md5('0|' || part || '|' || coalesce(doc_id::VARC
 n AS (SELECT doc_id, text, lang, source, n_chars,
         sum((SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND c <= u.u AND c < 1 - power(2.0, -52)))::BIGINT AS n_copies
       FROM u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5('0|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5('0|order|' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) || '|' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM n WHERE n_copies > 0)
 """
