@@ -243,7 +243,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES,
     allow, block = F.col("__allow"), F.col("__block")
     rule_at = F.when(allow < 0, block).when(block < 0, allow).otherwise(F.least(allow, block))
     if listed_by_join:
-        judged = judged.join(blocked.select(F.col("key").alias("__key")), F.col("host") == F.col("__key"), "left") \
+        judged = judged.join(blocked.select(F.col("key").alias("__key")).distinct(), F.col("host") == F.col("__key"), "left") \
             .withColumn("__host", F.when(F.col("__key").isNotNull(), 0).otherwise(-1)).drop("__key")
     return (judged.withColumn("rule", F.when(rule_at >= 0, F.get(F.col("__keys"), rule_at)))
             .withColumn("listed_host", F.col("__host") >= 0)
