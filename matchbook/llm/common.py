@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -43,3 +44,17 @@ def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> Da
     """``mapInArrow`` with this package on the workers' path."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs that start inside read and send ``rows`` rows at a time to Python: a text or chunk may be a large row."""
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = [spark.conf.get(key) for key in keys]
+    try:
+        for key in keys:
+            spark.conf.set(key, str(rows))
+        yield
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)

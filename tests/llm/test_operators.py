@@ -75,6 +75,38 @@ def test_near_duplicates_in_large_mixed_buckets(spark, monkeypatch):
     assert sorted(kept) == sorted(set(_classes(texts).values()))
 
 
+def test_near_duplicates_that_only_prefixes_tell(spark, monkeypatch):
+    """All texts fall into one bucket whose smallest text is like none of them; a passage fills most of each."""
+    monkeypatch.setattr(neardup, "band_keys", lambda sig, *_: np.zeros((len(sig), neardup.BANDS), np.int64))
+    rng = np.random.default_rng(8)
+    shared = [f"p{x}" for x in range(70)]
+    texts = {0: "a text of its own that nothing else is similar to"}
+    for i in range(1, 40):
+        texts[i] = " ".join(shared + [f"u{i}x{k}" for k in range(30)])
+        if i % 3 == 0:
+            words = texts[i].split()
+            words[int(rng.integers(75, 95))] = "other"
+            texts[100 + i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == _classes(texts)
+    assert got[103] == 3 and got[1] == 1
+
+
+def test_prefixes_of_similar_multisets_meet():
+    rng = np.random.default_rng(2)
+    frequency = rng.integers(0, 50, neardup.SLOTS)
+    met = 0
+    for _ in range(300):
+        keys = np.unique(rng.integers(0, 2**63, 40).astype(np.uint64))
+        counts = rng.integers(1, 5, len(keys))
+        other = np.maximum(1, counts + rng.integers(-1, 2, len(keys)) * (rng.random(len(keys)) < 0.5))
+        if 5 * np.minimum(counts, other).sum() >= 4 * np.maximum(counts, other).sum():
+            met += 1
+            assert len(np.intersect1d(neardup.prefix(keys, counts, frequency), neardup.prefix(keys, other, frequency)))
+    assert met > 50
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 60).astype(np.uint64)
