@@ -64,7 +64,7 @@ def test_attributes_repeat_with_their_ids(spark):
     s1, tg = records(spark, "S1-", ["oak mill", "elm press"]), records(spark, "S2-", ["oak mill", "oak press", "elm mill"])
     left = s1.unionByName(s1.limit(1)).select(F.col("entity_id").alias("s1_id"), F.col("norm_name").alias("a"))
     right = tg.unionByName(tg.where("entity_id = 'S2-1'")).where("entity_id <> 'S2-2'").select(F.col("entity_id").alias("cand_id"), F.col("norm_name").alias("b"))
-    got = bl.block_pairs(bl.profile_blocks(s1, tg, "v4", 5), 5, left, right).select("s1_id", "cand_id", "rank", "a", "b")
+    got = bl.block_pairs(bl.profile_blocks(s1, tg, "v4", 5), left, right).select("s1_id", "cand_id", "rank", "a", "b")
     want = bl.block(s1, tg, "v4", 5).join(left, "s1_id").join(right, "cand_id").select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert not shuffled_pairs(got)
