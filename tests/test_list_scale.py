@@ -7,7 +7,7 @@ from matchbook.operators import blocking as bl
 from matchbook.operators import match as mt
 from matchbook.operators import quality as dq
 from matchbook.operators import retrieve as rt
-from test_block_scale import records
+from test_block_scale import records, shuffled_pairs
 
 
 def test_rules_read_the_lists_once(spark):
@@ -43,3 +43,16 @@ def test_bm25_of_blocks_equals_that_of_pairs(spark):
     got, want = rt.rerank_bm25(blocks, s1, tg, 2), rt.rerank_bm25(pairs, s1, tg, 2)
     rows = sorted(map(tuple, got.collect()))
     assert rows and rows == sorted(map(tuple, want.collect()))
+
+
+def test_tfidf_of_blocks_shuffles_no_pair(spark):
+    s1 = records(spark, "S1-", ["oak mill", "", "oak"])
+    norm = s1.unionByName(records(spark, "S2-", ["oak mill", "oak press", "o", "oak oak mill"]))
+    blocks = bl.profile_blocks(s1, norm.where("entity_id like 'S2-%'"), "v4", 3)
+    got = rt.pair_tfidf_cosine(blocks, rt.name_gram_weights(norm), norm)
+    assert not shuffled_pairs(got)
+    found = {(r.s1_id, r.cand_id): r.tfidf_cosine for r in got.collect()}
+    pairs = bl.listed_pairs(bl.block_lists(blocks, 3))
+    assert len(found) == pairs.count() and found["S1-0", "S2-0"] == 1.0
+    for r in rt.pair_tfidf_cosine(pairs, rt.name_gram_weights(norm), norm).collect():
+        assert abs(found[r.s1_id, r.cand_id] - r.tfidf_cosine) < 2e-6
