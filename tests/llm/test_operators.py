@@ -93,6 +93,27 @@ def test_near_duplicates_that_only_prefixes_tell(spark, monkeypatch):
     assert got[103] == 3 and got[1] == 1
 
 
+def test_near_duplicates_shuffle_no_text_again(spark, monkeypatch):
+    """However long the list of wanted texts, a join with the texts shuffles the list alone."""
+    plans, real = [], neardup._texts_of
+
+    def texts_of(*args):
+        found = real(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(neardup, "_texts_of", texts_of)
+    before, words = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i // 2}"])) for i in range(8)], "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert {r.class_id for r in neardup.near_duplicates(docs).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and all(p.count("Exchange") == 1 for p in plans)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("matchbook_texts")]
+
+
 def test_prefixes_of_similar_multisets_meet():
     rng = np.random.default_rng(2)
     frequency = rng.integers(0, 50, neardup.SLOTS)
