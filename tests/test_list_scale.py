@@ -56,3 +56,21 @@ def test_tfidf_of_blocks_shuffles_no_pair(spark):
     assert len(found) == pairs.count() and found["S1-0", "S2-0"] == 1.0
     for r in rt.pair_tfidf_cosine(pairs, rt.name_gram_weights(norm), norm).collect():
         assert abs(found[r.s1_id, r.cand_id] - r.tfidf_cosine) < 2e-6
+
+
+def test_rules_do_not_join_the_records_again(spark, monkeypatch):
+    """The valid ids come from the normalised records, which are written once an input folder."""
+    from matchbook.plans import catalog
+    seen = []
+    monkeypatch.setattr(catalog.rs, "targets", lambda recs: seen.append(recs))
+    monkeypatch.setattr(catalog.dq, "offenders", lambda *args: seen.append(args[-1].columns))
+    catalog._dq_offenders(spark, "/root/testdata/sf0.001")
+    assert seen == [["entity_id"]]
+
+
+def test_blocks_are_sorted_by_keys_before_types(spark):
+    norm = records(spark, "S2-", ["oak mill", "oak press"])
+    kept = bl.truncate_blocks(bl.explode_keys(norm, "v4"), 3)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window [" in line)
+    assert window.index("key#") < window.index("tag#")
