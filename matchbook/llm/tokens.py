@@ -19,6 +19,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from operator import attrgetter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ SHARD_IDS = 1 << 20
 CHUNK_CHARS = 1 << 21
 CACHED_PIECES = 1_000_000  # of one dictionary and a chunk; some 150 MB in a worker
 END_ID = 2
+_ID = attrgetter("id")
 _WORD_AND_MARK = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 SHARD_SCHEMA = """part int, shard int, part_start bigint, n_ids bigint, n_docs bigint, doc_ids array<bigint>,
   doc_lengths array<bigint>, alphabet binary, zeros array<bigint>, planes array<binary>, directory array<binary>"""
@@ -51,65 +54,42 @@ def _byte_points() -> np.ndarray:
 _BYTE_POINTS = _byte_points()
 
 
-class _Pieces:
+def _spelt(text: str) -> str:
+    return _BYTE_POINTS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+
+class _Pieces(dict):
     """Ids of the pieces of lines as little-endian 32-bit bytes; None for one with white space or empty.
 
-    New pieces are encoded together: Latin words, which are single pre-tokens,
-    by the library's BPE model, a word with a full stop or comma as that word
-    and its mark, others as lines of one text, in whose ids only the newline's
-    own stands for a newline. The dictionary has two halves: when the newer one
-    is full it becomes the older one, from which pieces in use come back.
+    A new piece is encoded when it is first looked up: a Latin word, which is
+    a single pre-token, by the library's BPE model, a word with a full stop or
+    comma as that word and its mark, others as a text. The dictionary has two
+    halves: when the newer one is full it becomes the older one, from which
+    pieces in use come back.
     """
 
     def __init__(self, encoder: PieceEncoder, lead: str):
-        self.encoder, self.lead = encoder, lead
-        self.known: dict[str, bytes | None] = {}
+        super().__init__()
+        self.encoder, self.lead, self.spelt_lead = encoder, lead, _spelt(lead)
         self.older: dict[str, bytes | None] = {}
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) >= CACHED_PIECES // 2:
-            self.known, self.older = {}, self.known
-        words, marked, others = set(), [], []
-        for p in self._new(pieces):
-            if m := _WORD_AND_MARK.fullmatch(p):
-                words.add(m[1])
-                if m[2]:
-                    marked.append((p, m[1], m[2]))
-            elif p.split() == [p]:
-                others.append(p)
-            else:
-                self.known[p] = None
-        self.known.update(self._words(list(self._new(words))))
-        mark = self.encoder.mark
-        self.known.update((p, self.known[word] + mark[c]) for p, word, c in marked)
-        self.known.update(zip(others, self._lines([self.lead + p for p in others])))
-
-    def _new(self, pieces: set[str]) -> set[str]:
-        new = pieces.difference(self.known)
-        back = new.intersection(self.older)
-        self.known.update((p, self.older[p]) for p in back)
-        return new - back
-
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        text = "\n".join(self.lead + w for w in words).encode()
-        spelt = _BYTE_POINTS[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le")
-        tokenize, flat, ends = self.encoder.model.tokenize, [], []
-        for word in spelt.split(chr(_BYTE_POINTS[10])) if words else ():
-            flat += [t.id for t in tokenize(word)]
-            ends.append(4 * len(flat))
-        raw = np.array(flat, "<u4").tobytes()
-        return zip(words, (raw[a:b] for a, b in zip([0, *ends], ends)))
-
-    def _lines(self, lines: list[str]) -> list[bytes]:
-        text = "\n".join(lines)
-        if not lines or self.encoder.added(text):
-            return [self.encoder.whole(x) for x in lines]
-        raw = self.encoder.whole(text)
-        ids = np.frombuffer(raw, "<u4")
-        ends = [*(4 * np.flatnonzero(ids == self.encoder.newline_id)).tolist(), len(raw)]
-        if len(ends) != len(lines):
-            return [self.encoder.whole(x) for x in lines]
-        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+    def make_room(self) -> None:
+        if len(self) >= CACHED_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        self[piece] = ids = self.older[piece] if piece in self.older else self._ids(piece)
+        return ids
+
+    def _ids(self, piece: str) -> bytes | None:
+        ascii_ = piece.isascii()
+        if ascii_ and piece.isalpha() or (m := _WORD_AND_MARK.fullmatch(piece)) and not m[2]:
+            ids = [*map(_ID, self.encoder.model.tokenize(self.spelt_lead + (piece if ascii_ else _spelt(piece))))]
+            return pack(f"<{len(ids)}I", *ids)
+        if m:
+            return self[m[1]] + self.encoder.mark[m[2]]
+        return self.encoder.whole(self.lead + piece) if piece.split() == [piece] else None
 
 
 class PieceEncoder:
@@ -134,7 +114,6 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.newline = self.whole("\n")
         self.mark = {c: self.whole(c) for c in ".,"}
-        self.newline_id = int(np.frombuffer(self.newline, "<u4")[0])
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
 
     def whole(self, text: str) -> bytes:
@@ -142,20 +121,14 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [None if self.added(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        first, later = set(), set()
-        for lines in split:
-            for pieces in lines or ():
-                first.add(pieces[0])
-                later.update(islice(pieces, 1, None))
-        self.first.learn(first)
-        self.later.learn(later)
-        head, tail = self.first.known, self.later.known.__getitem__
+        self.first.make_room()
+        self.later.make_room()
+        head, tail = self.first, self.later.__getitem__
         out = []
-        for text, lines in zip(texts, split):
+        for text in texts:
             try:
-                ids = None if lines is None else self.newline.join(
-                    [b"".join([head[p[0]], *map(tail, islice(p, 1, None))]) for p in lines])
+                ids = None if self.added(text) else self.newline.join(
+                    [b"".join([head[p[0]], *map(tail, islice(p, 1, None))]) for p in (line.split(" ") for line in text.split("\n"))])
             except TypeError:  # a piece without ids
                 ids = None
             out.append(self.whole(text) if ids is None else ids)

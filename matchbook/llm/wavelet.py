@@ -41,8 +41,8 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             ones = (seq & (1 << b)) != 0
             plane = np.packbits(ones)
-            low = seq[~ones]
-            seq = np.concatenate([low, seq[ones]])
+            low = np.flatnonzero(~ones)  # places are read several times faster than by a mask of random bits
+            seq = np.concatenate([seq[low], seq[np.flatnonzero(ones)]])
             zeros.append(len(low))
             planes.append(plane)
             directory.append(_counts(plane))
@@ -69,8 +69,8 @@ class WaveletMatrix:
         for b, (zeros, plane) in enumerate(zip(reversed(self.zeros), reversed(self.planes))):
             ones = np.unpackbits(plane, count=self.n).view(bool)
             out = np.empty_like(seq)
-            out[~ones] = seq[:zeros]
-            out[ones] = seq[zeros:] | seq.dtype.type(1 << b)
+            out[np.flatnonzero(~ones)] = seq[:zeros]
+            out[np.flatnonzero(ones)] = seq[zeros:] | seq.dtype.type(1 << b)
             seq = out
         return self.alphabet[seq] if self.n else np.zeros(0, np.uint32)
 

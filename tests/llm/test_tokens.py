@@ -38,3 +38,23 @@ def test_pieces_against_the_library(monkeypatch):
     for i in range(0, len(texts), 50):
         for text, ids in zip(texts[i:i + 50], encoder.encode(texts[i:i + 50])):
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_each_new_piece_is_encoded_once(monkeypatch):
+    """Pieces are learnt as they are looked up; the dictionary's older half is asked for single pieces, never walked."""
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("all known pieces are read")
+        keys = items = __iter__
+
+    encoder = tokens.PieceEncoder(tokens.default_tokenizer())
+    texts = ["some words, once more.", "more words\nünd 1-2 some words."]
+    before = encoder.encode(texts)
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 2)
+    encoder.first.make_room()
+    encoder.later.make_room()
+    for half in (encoder.first, encoder.later):
+        half.older = Older(half.older)
+        monkeypatch.setattr(half, "_ids", None)  # nothing is encoded again
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 10**6)
+    assert encoder.encode(texts) == before
