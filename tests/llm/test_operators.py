@@ -93,6 +93,12 @@ def test_near_duplicates_that_only_prefixes_tell(spark, monkeypatch):
     assert got[103] == 3 and got[1] == 1
 
 
+def test_buckets_of_the_same_texts_count_once(spark):
+    rows = [(k, i, 9) for k, ids in ((1, (1, 2, 3)), (2, (1, 2, 3)), (3, (1, 2)), (4, (2, 3)), (5, (7,)), (6, (3, 2))) for i in ids]
+    left = neardup._unlike(spark.createDataFrame(rows, "key long, id long, size long")).collect()
+    assert sorted((r.key, r.id) for r in left) == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (4, 2), (4, 3)]
+
+
 def test_near_duplicates_shuffle_no_text_again(spark, monkeypatch):
     """However long the list of wanted texts, a join with the texts shuffles the list alone."""
     plans, real = [], neardup._texts_of
