@@ -1,5 +1,7 @@
 """Tuning, training and scoring read their pairs once, whatever the number of folds and passes."""
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -52,3 +54,12 @@ def test_a_fit_reads_written_rows(spark, monkeypatch):
     cat._score_pairs(spark, "")
     cat._f05_out_of_fold(spark, "")
     assert len(trained) == 6 and not any("Join" in plan for plan in trained)
+
+
+def test_grid_points_below_a_score(spark):
+    near = [x for g in mt.GRID for x in (g, math.nextafter(g, 2), math.nextafter(g, -2))]
+    scores = [*near, None, math.nan, -3.0, 7.0, math.inf, -math.inf]
+    grid = F.array(*[F.lit(g) for g in mt.GRID])
+    df = spark.createDataFrame([(s,) for s in scores], "score double")
+    got = df.select(mt.grid_points_below(F.col("score")).alias("m"), F.size(F.filter(grid, lambda g: F.col("score") > g)).alias("n")).collect()
+    assert [r.m for r in got] == [r.n for r in got]

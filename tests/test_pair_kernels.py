@@ -9,6 +9,7 @@ from matchbook.functions import pairwise as pw
 from matchbook.functions import similarity as sim
 from matchbook.operators import blocking as bl
 from matchbook.operators import features as fe
+from matchbook.operators import match as mt
 from matchbook.operators import pair_kernels as pk
 
 ODD = [None, "", "a", "ab", "ba", "oak mill", "mill oak", "oak  mill oak", "éa", "aé", "🦊fox", "fox🦊", "martha", "marhta", "x" * 64, "x" * 63 + "y",
@@ -94,3 +95,25 @@ def test_a_null_is_no_value():
     a, b = (pa.array(x).to_numpy() for x in ([0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]))
     values, valid = pk.FEATURES["both_address"][2](rows, a, b)
     assert [int(v) if k else None for v, k in zip(values, valid, strict=True)] == [None, 0, None, 0, 0, 1]
+
+
+def test_pairs_know_how_often_the_truth_has_them(spark):
+    """Tuning joins no pairs with the truth: each S1 record brings its true matches to its blocks."""
+    norm = odd_records(spark)
+    blocks = blocks_of_all(spark, norm)
+    ids = [r.entity_id for r in norm.select("entity_id").distinct().collect()]
+    rng = random.Random(5)
+    rows = [(rng.choice(ids), rng.choice(ids)) for _ in range(900)] + [("S1-0", "S2-1")] * 3 + [(None, "S2-1"), ("S1-0", None)]
+    truth = spark.createDataFrame(rows, "s1_id string, cand_id string")
+    scored = fe.fixed_score(fe.all_features(blocks, norm, fe.SCORE_FEATURES, truth))
+    assert scored.agg(F.sum("n_true")).first()[0] > 100
+    counted = mt.grid_counts(truth, scored)
+    assert sorted(map(str, counted.collect())) == sorted(map(str, mt.grid_counts(truth, scored.drop("n_true")).collect()))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[:plan.index("MapInArrow")]
+
+
+def test_no_truth_is_no_hit(spark):
+    norm = odd_records(spark)
+    truth = norm.select(F.col("entity_id").alias("s1_id"), F.col("entity_id").alias("cand_id")).where("false")
+    assert fe.all_features(blocks_of_all(spark, norm), norm, ["both_address"], truth).agg(F.sum("n_true")).first()[0] == 0
