@@ -11,6 +11,7 @@ from matchbook.operators import blocking as bl
 from matchbook.operators import features as fe
 from matchbook.operators import match as mt
 from matchbook.operators import pair_kernels as pk
+from matchbook.operators import retrieve as rt
 
 ODD = [None, "", "a", "ab", "ba", "oak mill", "mill oak", "oak  mill oak", "éa", "aé", "🦊fox", "fox🦊", "martha", "marhta", "x" * 64, "x" * 63 + "y",
        "x" * 65, "yx" * 100, "xy" * 100, " a\tb\n", "12 elm st 90210", "elm st 12"]
@@ -117,3 +118,15 @@ def test_no_truth_is_no_hit(spark):
     norm = odd_records(spark)
     truth = norm.select(F.col("entity_id").alias("s1_id"), F.col("entity_id").alias("cand_id")).where("false")
     assert fe.all_features(blocks_of_all(spark, norm), norm, ["both_address"], truth).agg(F.sum("n_true")).first()[0] == 0
+
+
+def test_cosines_of_blocks_equal_those_of_pairs_and_the_best_are_kept(spark):
+    norm = odd_records(spark)
+    blocks = blocks_of_all(spark, norm)
+    pairs = bl.listed_pairs(bl.block_lists(blocks, 300)).select("s1_id", "cand_id")
+    weights = rt.name_gram_weights(norm)
+    want = rt.pair_tfidf_cosine(pairs, weights, norm).cache()
+    rows = lambda df: sorted((r.s1_id, r.cand_id, round(r.tfidf_cosine, 5)) for r in df.collect())
+    assert rows(rt.pair_tfidf_cosine(blocks, weights, norm)) == rows(want)
+    few = rt.pair_tfidf_cosine(blocks, weights, norm, 2)
+    assert few.count() < want.count() and rows(rt.rerank_tfidf(few, 2)) == rows(rt.rerank_tfidf(want, 2))
